@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_byte_bpe
+from .licenses import op3_license_scan
+from .quality import op2_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
