@@ -13,18 +13,26 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Texts given to the library in one call.
-GROUP = 64
+#: Texts encoded in one call, and pieces remembered (a few tens of MB).
+GROUP, REMEMBERED = 64, 200_000
+#: Finds a character outside the blocks that are full since long.
+UNSETTLED = re.compile("[^\x00-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u0481\u048a-\u052f\u2000-\u2064\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]").search
+#: Spark's tasks keep the cores busy; threads of the library's own would only contend.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 @functools.cache
@@ -40,7 +48,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    """Encoder and decoder for one rank file's content."""
+    """Encoder and decoder for one rank file's content. Pieces met before are looked up, up to ``REMEMBERED`` of them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -51,13 +59,30 @@ class ByteBPE:
         for t, _ in sorted(ranks.items(), key=lambda x: x[1]):
             if len(t) > 1:
                 merges += [(shown[t[:i]], shown[t[i:]]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        model = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.split = pre_tokenizers.Split(Regex(pattern), "isolated")
+        self.tokenizer.pre_tokenizer = self.byte_level  # given one piece at a time
         self.table = {r: t for t, r in ranks.items()}
+        self.pieces = regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
+
+    def split_text(self, text: str) -> list[str]:
+        """The pattern's matches. Two libraries agree on the settled characters; others take the slower one, whose
+        classes are those of the encoders that such rank files come from."""
+        if text.isascii() or not UNSETTLED(text):
+            return self.pieces(text)
+        return [x for x, _ in self.split.pre_tokenize_str(text)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.split_text(t) for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list(set(itertools.chain.from_iterable(split)).difference(known))
+        if new:
+            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the byte range [start, end) of each in the text's UTF-8 form."""
@@ -67,7 +92,7 @@ class ByteBPE:
 
     def decode_bytes(self, ids) -> bytes:
         """The ids' bytes, whole characters or not."""
-        return b"".join(map(self.table.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
+        return b"".join(map(self.table.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
