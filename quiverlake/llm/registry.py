@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_byte_bpe
 from .licenses import op3_license_scan
 from .mixing import op5_source_mixing
+from .neardup import op10_minhash_near_dedup
 from .pii import op6_pii
 from .quality import op2_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_source_mixing, op6_pii, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_source_mixing, op6_pii, op9_byte_bpe, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
