@@ -12,10 +12,11 @@ from .mixing import op5_source_mixing
 from .neardup import op10_minhash_near_dedup
 from .pii import op6_pii
 from .quality import op2_quality_rules
+from .substrings import op8_suffix_array_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_source_mixing, op6_pii, op9_byte_bpe, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_source_mixing, op6_pii, op8_suffix_array_dedup, op9_byte_bpe, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
