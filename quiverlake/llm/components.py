@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = stored(large)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
@@ -39,6 +39,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     raise RuntimeError(f"components: no end after {MAX_ROUNDS} rounds")
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after more links (a, b) between their components or single nodes."""
+    if edges.isEmpty():
+        return labels
+    roots = labels.select("node", "root")
+    for c in ("a", "b"):
+        edges = edges.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    merged = components(edges)
+    moved = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    out = labels.join(moved, labels["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    # Roots that moved, and single nodes, aren't in labels as nodes.
+    return stored(out.unionByName(merged))
+
+
 def _state(e: DataFrame) -> tuple:
     h = F.xxhash64("hi", "lo")
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, drop_stored, shared_dir, stored, table
-from .components import components
+from .components import components, joined
 from .textvec import LOWER, SPACED, Words, flat, mixed, windows
 
 SHINGLE = 5
@@ -39,8 +39,6 @@ SMOOTH = 0.01
 BLOCK, FAN = 256, 512
 #: Pairs whose samples agree in less than this share are not compared in full: three standard deviations under SIMILARITY.
 LEAST_AGREEMENT = 0.6
-#: Buckets of the table of texts for each GB or so of text.
-TEXT_BUCKETS = 96
 
 K = BANDS * ROWS
 _rng = np.random.default_rng(0x1C35)
@@ -236,7 +234,8 @@ def links(docs: DataFrame) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"])
     # Bucketed by key, so that the joins below move no texts but those that they are about.
     path = f"{shared_dir(spark)}/table-{name}"
-    texts.write.bucketBy(TEXT_BUCKETS, "key").option("compression", "zstd").option("path", path).saveAsTable(name)
+    # As many buckets as the shuffle before has partitions: each task then writes the buckets that it holds.
+    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("compression", "zstd").option("path", path).saveAsTable(name)
     written = spark.table(name)
     try:
         return _links(spark, written)
@@ -282,7 +281,7 @@ def _links(spark: SparkSession, texts: DataFrame) -> DataFrame:
     left = left.select("band", "key", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     left = left.join(sketches.select("key", "sample"), "key").join(texts.select("key", "text"), "key")
     more = stored(within_blocks(left.groupBy("band", "i", "j"), idf))
-    return components(found.unionByName(more))
+    return joined(labels, more)
 
 
 def classes(docs: DataFrame) -> DataFrame:
