@@ -8,10 +8,12 @@ are left out first, exactly:
    of one anchor), about one for 85 bytes.
 2. Segments are grouped by their anchor's hash. Alone in its group, a segment holds no repeated window. If all segments
    of a group are the same string, all their windows are repeated. Only windows of mixed groups are left in doubt.
-3. Those windows are the suffixes to sort: splitters sampled by Spark's range partitioner deal them out by leading
+3. These are grouped once more, in cells: up to ``CELL`` neighbouring windows at the same distance from their anchor share
+   all but their outer bytes. Again a cell whose shared bytes occur once is done, and so are cells that are all equal.
+4. The windows of mixed cells are the suffixes to sort: splitters sampled by Spark's range partitioner deal them out by leading
    tokens (the first 8 bytes, then a 128-bit hash of the whole window standing for the rest), each bucket is sorted by
    multikey quicksort (ties of one token only are sorted by the next), and neighbours are compared. Rows with equal
-   tokens never straddle buckets, so boundaries need no second look. Suffixes repeated within a task are settled there,
+   tokens never straddle buckets, so boundaries need no second look. Suffixes that a task holds ``HOT`` times are settled there,
    and go on as one row, so that a very common passage is one row for each task.
 
 Texts are UTF-8 bytes; a null is empty. Matches never cross texts. Overlaps count, in one text too, and all is judged on
@@ -34,8 +36,12 @@ from .common import chunks, shared_dir, stored, table
 from .textvec import BASE, INVERSE, flat, hashes, mixed, powers, prefix
 
 LENGTH, GRAM = 200, 32
+#: Neighbouring windows settled together where possible.
+CELL = 16
 #: Suffixes held by a task before it settles those repeated within, and in a bucket.
 HELD, BUCKET = 1 << 19, 1 << 20
+#: A suffix that a task holds this often is settled there.
+HOT = 8
 #: The low bits of a packed anchor are its place in the chunk.
 PLACE = 26
 BASE_2 = 0xD1342543DE82EF95
@@ -62,11 +68,11 @@ def gram_hashes(sums: np.ndarray, start: np.ndarray | slice, length: int, n: int
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """doc, first (window's start in its text), windows, anchor (hash) and content (hash) of every segment."""
+    """doc, first (window's start in its text), windows, place (anchor's, in its text), anchor (hash) and content (hash) of every segment."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return {"doc": none, "first": none, "windows": none, "anchor": none.view(np.uint64), "content": none.view(np.uint64)}
+        return {"doc": none, "first": none, "windows": none, "place": none, "anchor": none.view(np.uint64), "content": none.view(np.uint64)}
     sums = prefix(data)
     g = gram_hashes(sums, slice(None), gram, n)
     low = np.uint64((1 << PLACE) - 1)
@@ -86,7 +92,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     count = np.diff(np.append(s, len(at)))
     first = at[s]
     content = hashes(data, first, first + count + length - 1, sums) ^ mixed((anchor[s] - first + 1).astype(np.uint64))
-    return {"doc": doc[s], "first": first - offsets[doc[s]], "windows": count, "anchor": g[anchor[s]], "content": content}
+    return {"doc": doc[s], "first": first - offsets[doc[s]], "windows": count, "place": anchor[s] - offsets[doc[s]], "anchor": g[anchor[s]], "content": content}
 
 
 def window_keys(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,20 +147,56 @@ def runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return row[s], at[s], at[last] + LENGTH
 
 
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, first, windows and place of each element of the second column."""
+    found = b.column(1)
+    parts = found.flatten()
+    return np.repeat(np.arange(b.num_rows), found.value_lengths().to_numpy()), *(parts.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+
+
 def find_repeats(texts: DataFrame) -> DataFrame:
     """(id, from, to) byte ranges, not merged, of repeated strings in texts(id, text)."""
 
+    schema = "id bigint, first int, windows int, place int, core bigint, content bigint"
+
+    def rows_of(ids, first, windows, place, core, content) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(x.astype(np.int32)) for x in (first, windows, place)], pa.array(core.view(np.int64)), pa.array(content.view(np.int64))], ["id", "first", "windows", "place", "core", "content"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             s = segments(*flat(b.column(1)))
-            ids = b.column(0).to_numpy()[s["doc"]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s["first"].astype(np.int32)), pa.array(s["windows"].astype(np.int32)), pa.array(s["anchor"].view(np.int64)), pa.array(s["content"].view(np.int64))], ["id", "first", "windows", "anchor", "content"])
+            yield rows_of(b.column(0).to_numpy()[s["doc"]], s["first"], s["windows"], s["place"], s["anchor"], s["content"])
 
-    rows = texts.select("id", "text").mapInArrow(cut, "id bigint, first int, windows int, anchor bigint, content bigint")
-    groups = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    doubted = rows.select("id", "first", "windows", "anchor").join(groups.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor")
-    by_text = doubted.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "mixed")).alias("found"))
-    near = by_text.join(texts.select("id", "text"), "id")
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            data, offsets = flat(b.column(2))
+            doc, first, windows, place = unpacked(b)
+            near, far = place - first - windows + 1, place - first  # distances from the last and the first window
+            cells = far // CELL - near // CELL + 1
+            if not len(cells):
+                continue
+            which = np.repeat(np.arange(len(cells)), cells)
+            q = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells) + (near // CELL)[which]
+            lo = place[which] - np.minimum(q * CELL + CELL - 1, far[which])
+            hi = place[which] - np.maximum(q * CELL, near[which])
+            at, sums = offsets[doc[which]], prefix(data)
+            core = at + place[which] - q * CELL
+            core = mixed(hashes(data, core, core + LENGTH - CELL + 1, sums) + q.astype(np.uint64))
+            content = hashes(data, at + lo, at + hi + LENGTH, sums) ^ mixed((place[which] - lo + 1).astype(np.uint64))
+            yield rows_of(b.column(0).to_numpy()[doc[which]], lo, hi - lo + 1, place[which], core, content)
+
+    def doubted(rows: DataFrame) -> DataFrame:
+        """Rows whose core occurs elsewhere; mixed: not all rows with this core are equal."""
+        groups = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
+        return stored(rows.drop("content").join(groups.select("core", (F.col("lo") != F.col("hi")).alias("mixed")), "core").drop("core"))
+
+    def beside_text(rows: DataFrame) -> DataFrame:
+        by_text = rows.where("mixed").groupBy("id").agg(F.collect_list(F.struct("first", "windows", "place")).alias("found"))
+        return by_text.join(texts.select("id", "text"), "id").select("id", "found", "text")
+
+    first = doubted(texts.select("id", "text").mapInArrow(cut, schema))
+    second = doubted(beside_text(first).mapInArrow(finer, schema))
+    sure = first.unionByName(second).where("NOT mixed").select("id", F.col("first").alias("from"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("to"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -165,27 +207,25 @@ def find_repeats(texts: DataFrame) -> DataFrame:
         def settled() -> Iterator[pa.RecordBatch]:
             ids, at, lead, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            both, first = repeated(*multikey_order([one, two]))
+            order, same = multikey_order([one, two])
+            _, first = repeated(order, same)
+            start = np.flatnonzero(~same)
+            often = np.repeat(np.diff(np.append(start, len(order))) >= HOT, np.diff(np.append(start, len(order))))
+            both = np.zeros(len(order), bool)
+            both[order] = often
+            first &= both
             r, a, z = runs(ids[both], at[both])
             zero = np.zeros(len(r), np.uint64)
             yield out(0, r, a, z, zero, zero, zero)
             ids = np.where(both, -1, ids)  # known to be repeated: only a witness for others
-            yield out(1, ids[first], at[first], at[first], lead[first], one[first], two[first])
+            on = first | ~both
+            yield out(1, ids[on], at[on], at[on], lead[on], one[on], two[on])
 
         n = 0
         for b in chunks(batches, "text"):
             data, offsets = flat(b.column(2))
-            found = b.column(1).combine_chunks() if isinstance(b.column(1), pa.ChunkedArray) else b.column(1)
-            flatten = found.flatten()
-            doc = np.repeat(np.arange(b.num_rows), found.value_lengths().to_numpy())
-            first, windows, mixed_ = (flatten.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            doc, first, windows, _ = unpacked(b)
             ids = b.column(0).to_numpy()
-            sure = mixed_ == 0
-            zero = np.zeros(int(sure.sum()), np.uint64)
-            yield out(0, ids[doc[sure]], first[sure], first[sure] + windows[sure] + LENGTH - 1, zero, zero, zero)
-            doc, first, windows = doc[~sure], first[~sure], windows[~sure]
-            if not len(doc):
-                continue
             ends = np.cumsum(windows)
             at = np.arange(ends[-1]) - np.repeat(ends - windows, windows) + np.repeat(first, windows)
             doc = np.repeat(doc, windows)
@@ -197,7 +237,7 @@ def find_repeats(texts: DataFrame) -> DataFrame:
         if held:
             yield from settled()
 
-    kinds = stored(near.select("id", "found", "text").mapInArrow(suffixes, "kind int, id bigint, from int, to int, lead bigint, one bigint, two bigint"))
+    kinds = stored(beside_text(second).mapInArrow(suffixes, "kind int, id bigint, from int, to int, lead bigint, one bigint, two bigint"))
     todo = kinds.where("kind = 1").select("id", F.col("from").alias("at"), "lead", "one", "two")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-todo.count() // BUCKET))
 
@@ -213,7 +253,7 @@ def find_repeats(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["id", "from", "to"])
 
     more = todo.repartitionByRange(parts, "lead", "one", "two").mapInArrow(bucket, "id bigint, from int, to int")
-    return kinds.where("kind = 0").select("id", "from", "to").unionByName(more)
+    return sure.unionByName(kinds.where("kind = 0").select("id", "from", "to")).unionByName(more)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
