@@ -17,6 +17,7 @@ labelled texts of both kinds all scores are the share of toxic labels (0.1 where
 from __future__ import annotations
 
 import itertools
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 from .textvec import LOWER, SPACED, Words, flat, hash_word
 
-TRAIN_TEXTS = 9000
+TRAIN_TEXTS = 6000
 #: Weight of each character left out; widths within which three, four and five characters may lie.
 DECAY, SPANS = 0.5, {3: 4, 4: 5, 5: 6}
 TABLE = 1 << 20
@@ -104,14 +105,12 @@ def apply_table(values: np.ndarray, keys: tuple[np.ndarray, np.ndarray], size: n
     return (values[keys[0]] @ keys[1]).astype(np.float64) / lengths(size)
 
 
-def landmark_map(keys: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> list[np.ndarray]:
-    """The explicit map of each word as a dense table."""
-    out = []
+def landmark_map(keys: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> Iterator[np.ndarray]:
+    """The explicit map of each word, one dense table at a time."""
     for row, norm in zip(keys[0], lengths(size), strict=True):
         x = np.bincount(row, weights=keys[1], minlength=TABLE + 1) / norm
         x[TABLE] = 0
-        out.append(x.astype(np.float32))
-    return out
+        yield x.astype(np.float32)
 
 
 def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -199,7 +198,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     if not len(y):
         return flatly(0.1)
     share = float(np.clip(y.mean(), 0.01, 0.99))
-    bags = [set(units(t)) for t in texts]
+    bags = [set(map(sys.intern, units(t))) for t in texts]
     alone = different(bags)
     bags, y = [bags[i] for i in alone], y[alone]
     learn = [i for i in range(len(bags)) if i % 3 or len(bags) < 60]
@@ -241,9 +240,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         keys = keyed(codes, size)
         mark_codes, mark_size = encoded(marks)
         mark_keys = keyed(mark_codes, mark_size)
-        maps = landmark_map(mark_keys, mark_size)
-        k_nm = np.stack([apply_table(x, keys, size) for x in maps], axis=1)
-        k_mm = np.stack([apply_table(x, mark_keys, mark_size) for x in maps], axis=1)
+        both = [(apply_table(x, keys, size), apply_table(x, mark_keys, mark_size)) for x in landmark_map(mark_keys, mark_size)]
+        k_nm, k_mm = (np.stack(x, axis=1) for x in zip(*both, strict=True))
         values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
         keep = values > 1e-7 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
@@ -254,7 +252,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         w = svm(k_nm @ root, side, cost)
         weights = root @ w[:-1]
         table_ = np.zeros(TABLE + 1)
-        for c, x in zip(weights, maps, strict=True):
+        for c, x in zip(weights, landmark_map(mark_keys, mark_size), strict=True):
             table_ += c * x
         model = Model(table_, float(w[-1]), 1.0, 0.0, 0.0)
         if turn < ROUNDS:
