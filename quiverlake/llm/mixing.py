@@ -9,7 +9,7 @@ taken more than three times.
 
 Sources are ordered by code point, null last, and weigh 1, 2, 3 in turn. A null text has no words and is never taken, as
 is an empty one. Repeated rows stand in the mix once each. The sources' totals (one row for each source) are collected:
-they are the mix's configuration. Other columns are ignored, or kept by ``mixed``.
+they are the mix's configuration, and broadcast. Other columns are ignored, or kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def taken_pieces(rows: DataFrame, sources: list[dict]) -> DataFrame:
     """(index, start, from, words, times) of every piece of a document in a drawn block; from counts the document's words."""
     spark = rows.sparkSession
     names = spark.createDataFrame([((x["source"],), i) for i, x in enumerate(sources)], f"name {rows.schema['src'].dataType.simpleString()}, index int")
-    at = rows.where("size > 0").join(names, rows["src"].eqNullSafe(names["name"])).select("index", "start", "size")
+    at = rows.where("size > 0").join(F.broadcast(names), rows["src"].eqNullSafe(names["name"])).select("index", "start", "size")
     at = at.select("*", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
     lo, hi = F.greatest(F.col("start"), F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     return at.join(slots(spark, sources), ["index", "block"]).select("index", "start", (lo - F.col("start")).alias("from"), (hi - lo).alias("words"), "times")
@@ -149,7 +149,7 @@ def mix(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame | None]:
     rows = stored(placed(docs, keep))
     sources = plan(rows)
     names = source_table(rows, sources)
-    out = rows.join(names, rows["src"].eqNullSafe(names["name"])).select("row", "index", "start", "size", "source_size", "target")
+    out = rows.join(F.broadcast(names), rows["src"].eqNullSafe(names["name"])).select("row", "index", "start", "size", "source_size", "target")
     return out, taken_pieces(rows, sources) if sources else None
 
 
