@@ -155,6 +155,8 @@ class Model:
 
     def __init__(self, values: np.ndarray, bias: float, slope: float, place: float, empty: float):
         self.values, self.bias, self.slope, self.place, self.empty = values.astype(np.float32), bias, slope, place, empty
+        # Decisions met before: by the hash of a word as it stands (sorted), and by its letters.
+        self.keys, self.found, self.known = np.zeros(0, np.uint64), np.zeros(0), {}
 
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
@@ -166,6 +168,14 @@ class Model:
             out[at] = apply_table(self.values, keyed(codes, size), size) + self.bias
         return out
 
+    def remembered(self, words: list[str]) -> np.ndarray:
+        """``decide``, once for each different word."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set(words).difference(self.known))
+        self.known.update(zip(new, self.decide(new).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
+
     def score(self, decision: np.ndarray) -> np.ndarray:
         """From a text's largest decision; minus infinity: no words."""
         x = np.where(np.isfinite(decision), self.slope * decision + self.place, self.empty)
@@ -301,13 +311,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        keys, values = np.zeros(0, np.uint64), np.zeros(0)
         for b in chunks(batches, "text"):
             data, offsets = flat(b.column(1))
             w = Words(LOWER[data], offsets, SPACED)
             top = np.full(b.num_rows, -np.inf)
             # Each different word once; those seen before are looked up.
             h, first = np.unique(w.hash, return_index=True)
+            keys, values = m.keys, m.found
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             seen = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             f = np.full(len(h), -np.inf)
@@ -316,7 +326,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if len(new):
                 raw = [bytes(data[w.start[i] : w.end[i]]).decode() for i in first[new].tolist()]
                 parts = [units(x) for x in raw]
-                got = m.decide([p for x in parts for p in x])
+                got = m.remembered([p for x in parts for p in x])
                 count = np.array([len(x) for x in parts])
                 some = np.flatnonzero(count)
                 if len(some):
@@ -324,21 +334,24 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 keys, values = np.concatenate([keys, h[new]]), np.concatenate([values, f[new]])
                 order = np.argsort(keys)
                 keys, values = keys[order], values[order]
-                if len(keys) > REMEMBERED:
+                if len(keys) > 2 * REMEMBERED:
                     keys, values = keys[:0], values[:0]
+                m.keys, m.found = keys, values
             each = f[np.searchsorted(h, w.hash)]
             have = np.flatnonzero(w.count)
             if len(have):
                 top[have] = np.maximum.reduceat(each, w.first[:-1][have])
             # Runs of single letters, joined: only texts with three such words in a row.
             one = np.zeros(len(w) + 2, bool)
-            one[: len(w)] = w.end - w.start <= 2
+            letter = (np.r_[data, 0] | 32 >= 97) & (np.r_[data, 0] != 124)
+            size = w.end - w.start
+            one[: len(w)] = (size == 1) | (size == 2) & (letter[w.start].astype(int) + letter[w.start + size - 1] == 1)
             rows = w.doc[np.flatnonzero(one[:-2] & one[1:-1] & one[2:])] if len(w) else []
             for d in np.unique(rows).tolist():
                 text = bytes(data[offsets[d] : offsets[d + 1]]).decode()
                 joined = [x for x in units(text) if len(x) > 2]
                 if joined:
-                    top[d] = max(top[d], m.decide(joined).max())
+                    top[d] = max(top[d], m.remembered(joined).max())
             score = m.score(top)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
