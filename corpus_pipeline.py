@@ -36,7 +36,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_stage), ("near-dedup", dedup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("byte-level bpe", bpe_stage)]
-#: Label models, sampling and merges aren't for SQL; tests compare with a brute-force version.
+#: Label models, sampling and merges are not for SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
