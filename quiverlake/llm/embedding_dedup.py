@@ -224,3 +224,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs with equal labels, then everything reachable.
+OP1_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS r FROM v
+         WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (a.r * b.r) >= {COSINE}),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM (SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id))::BIGINT AS c FROM v)
+"""

@@ -294,3 +294,19 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cleaned(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of each text; windows at places of equal bytes mark what they cover.
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + {LENGTH} - 1]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - {LENGTH} + 2)) AS i FROM d)),
+twice AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+marks AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH}, true) AS fresh FROM twice),
+runs AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM marks) GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS z FROM runs UNION ALL SELECT r, max(z), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(hex(b[g.a:coalesce(g.z, octet_length(b) + 1) - 1]), '' ORDER BY g.a) AS x FROM gaps g JOIN d USING (r) WHERE g.a < coalesce(g.z, octet_length(b) + 1) GROUP BY r),
+gone AS (SELECT r, sum(z - a) AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       CASE WHEN gone.r IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(x, ''))) END AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
