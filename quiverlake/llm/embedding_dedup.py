@@ -29,6 +29,8 @@ COSINE = 0.93
 AXES, AXES_FROM = 8, 256
 #: Vectors in a block, blocks in an interval, vectors below which parts are multiplied at once.
 BLOCK, INTERVAL, LEAF = 512, 32, 128
+#: Parts in which a group's intervals are compared.
+SALTS = 8
 
 
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -110,16 +112,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _matrix(b.column(1), width) @ basis
+            p = _matrix(b.column(3), width) @ basis
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(z.ravel())) for z in (np.floor(p / side).astype(np.int32), p)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["node", "cell", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists, b.column(3)], ["node", "n", "g", "cell", "p", "v"])
 
-    placed = nodes.select("node", "key.v").mapInArrow(cells, "node bigint, cell array<int>, p array<double>")
-    placed = placed.join(nodes, "node").select("node", "n", F.struct("key.label", F.size("key.v").alias("d")).alias("g"), "cell", "p", "key.v")
+    keyed = nodes.select("node", "n", F.struct("key.label", F.size("key.v").alias("d")).alias("g"), "key.v")
+    g_type, v_type = keyed.schema["g"].dataType.simpleString(), keyed.schema["v"].dataType.simpleString()
+    placed = keyed.mapInArrow(cells, f"node bigint, n bigint, g {g_type}, cell array<int>, p array<double>, v {v_type}")
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(parts, "g", "cell", "node").sortWithinPartitions("g", "cell", "node")
-    g_type, v_type = placed.schema["g"].dataType.simpleString(), placed.schema["v"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
@@ -169,21 +171,29 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         gap = F.zip_with(F.zip_with("lo", "hi_", lambda a, b: a - b), F.zip_with("lo_", "hi", lambda a, b: a - b), lambda a, b: F.greatest(F.lit(0.0), a, b))
         return left.join(right, on).where(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= slack)
 
-    far = meeting(spans, spans.select("g", F.col("interval").alias("interval_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")), ["g"]).where("interval <= interval_").select("g", "interval", "interval_")
+    # A group's intervals are compared in SALTS parts.
+    other = spans.select("g", F.col("interval").alias("interval_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    far = meeting(spans.withColumn("salt", F.pmod("interval", F.lit(SALTS)).cast("int")), other, ["g", "salt"]).where("interval <= interval_").select("g", "interval", "interval_")
     near = box.join(far, ["g", "interval"]).select("g", "interval_", "block", "lo", "hi")
-    near = meeting(near, box.select("g", F.col("interval").alias("interval_"), F.col("block").alias("block_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")), ["g", "interval_"]).where("block <= block_").select("block", "block_")
+    near = stored(meeting(near, box.select("g", F.col("interval").alias("interval_"), F.col("block").alias("block_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")), ["g", "interval_"]).where("block <= block_").select("block", "block_", F.expr(f"block div {INTERVAL}").alias("part")))
+    # Each block meets the earlier ones (and itself) part by part: it comes first (turn 0), then they stream past it.
     body = table_.select("block", "node", "n", "p", "v")
-    pairs = near.join(body, "block").join(body.select(*[F.col(c).alias(f"{c}_") for c in body.columns]), "block_")
+    guests = near.join(body, "block").select("block_", "part", F.lit(1).alias("turn"), "block", "node", "n", "p", "v")
+    hosts = near.select("block_", "part").distinct().join(body.withColumnRenamed("block", "block_"), "block_").select("block_", "part", F.lit(0).alias("turn"), F.col("block_").alias("block"), "node", "n", "p", "v")
+    streams = hosts.unionByName(guests).repartition(parts, "block_", "part").sortWithinPartitions("block_", "part", "turn")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host = None
         for b in batches:
             for i in range(b.num_rows):
                 get = lambda c: b.column(b.schema.get_field_index(c))[i].values  # noqa: B023, E731
-                same = b.column("block")[i].as_py() == b.column("block_")[i].as_py()
-                xs, ys = get("v"), get("v_")
-                x, y = _matrix(xs, len(xs[0])), _matrix(ys, len(ys[0]))
-                px, py = (np.array(get(c).flatten()).reshape(len(z), -1) for c, z in (("p", x), ("p_", y)))
-                nx, ny, cx, cy = (get(c).to_numpy() for c in ("node", "node_", "n", "n_"))
+                v = get("v")
+                now = (b.column("block")[i].as_py(), _matrix(v, len(v[0])), np.array(get("p").flatten()).reshape(len(v), -1), get("node").to_numpy(), get("n").to_numpy())
+                if b.column("turn")[i].as_py() == 0:
+                    host = now
+                    continue
+                (bx, x, px, nx, cx), (by, y, py, ny, cy) = now, host
+                same = bx == by
                 links_x, links_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
                 label = np.arange(len(x) + len(y))
                 if same:
@@ -211,7 +221,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 nodes_ = [*nx[some_x].tolist(), *ny[some_y].tolist(), *[e[0] for e in forest]]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array([*links_x[some_x].tolist(), *links_y[some_y].tolist(), *[0] * len(forest)], pa.int64()), pa.array([*[None] * k, *[e[1] for e in forest]], pa.int64())], ["node", "links", "other"])
 
-    found = stored(pairs.mapInArrow(linked, "node bigint, links bigint, other bigint"))
+    found = stored(streams.mapInArrow(linked, "node bigint, links bigint, other bigint"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     of = nodes.join(counts, "node", "left").join(roots, "node", "left").select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
