@@ -7,6 +7,8 @@ Queries are the first vectors by id (``QUERIES`` of them, a search's input as su
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.metrics import centroids, more_similar, quantised, squared_l2, squared_l2_int
 from ..operators import index as ix
 from ..operators import topk, workload
-from ..sources.vector_file import synthetic_vectors
+from ..sources.vector_file import read_vectors, synthetic_vectors, write_vectors
+from ..streaming import mutations
 
 QUERIES, K, LEAVES, INNER = 20, 10, 32, 4
 ATTRIBUTES = ix.Attributes(dimension=64, leaf_max=32, leaf_min=4, internal_max=8)
@@ -60,6 +63,24 @@ def _partial_lists(v: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lists[0], lists[1]
 
 
+def file_round_trip(v: DataFrame) -> DataFrame:
+    """Vectors written as one binary file in the shared folder and read again; ids are then places."""
+    spark = v.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vectors-")
+    path = f"{shared.rstrip('/')}/vectors-{uuid.uuid4().hex}.u8bin"
+    write_vectors(v.select("id", "vec"), path, "u8")
+    total = F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return read_vectors(spark, path, "u8").select("id", total.alias("total"), F.element_at("vec", 1).alias("head"))
+
+
+def mutated(v: DataFrame) -> DataFrame:
+    """Live vectors after one batch of a mutation stream: later ids arrive, some earlier ones go; the last operation counts."""
+    old, new = v.where("id < 400"), v.where("id >= 400").select("id", "vec")
+    gone = old.where("id % 7 = 3").select(F.lit(2).cast("bigint").alias("seq"), F.lit("delete").alias("op"), F.col("id").alias("vec_id"), "vec")
+    first = new.unionByName(old.where("id % 7 = 3").select("id", "vec")).select(F.lit(1).cast("bigint").alias("seq"), F.lit("insert").alias("op"), F.col("id").alias("vec_id"), "vec")
+    return mutations.apply(tree(old), first.unionByName(gone), 2).members.where("level = 1 AND state = 1").select(F.col("child_id").alias("vec_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     live = lambda v: with_deleted(tree(v), v)
     return {
@@ -102,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "avg_search_distance": _q(lambda v: workload.average_distance(ix.exact_knn(v, queries_of(v), K)).select(F.round("avg_distance", 6).alias("avg_distance"), "n")),
         "workload_mix": lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select(workload.operation(F.col("event_id") * 37 % 100, F.col("event_id") * 53 % 100, 10, 50).alias("operation")).groupBy("operation").agg(F.count(F.lit(1)).alias("n")),
         "recall_at_k": _q(lambda v: ix.recall(ix.ann_search(tree(v), queries_of(v), K, 2, 4), ix.exact_knn(v, queries_of(v), K), K)),
+        "vec_file_roundtrip": lambda spark, d: file_round_trip(vectors(spark, d)),
+        "mutation_batch": lambda spark, d: mutated(vectors(spark, d)),
         "synthetic_vectors": lambda spark, d: synthetic_vectors(spark, 1000, 8, alpha=2.0),
     }
 
@@ -156,6 +179,8 @@ def oracle_sql() -> dict[str, str]:
     means = "SELECT {by} i::INT AS i, (sum(x) // count(*))::INT AS m {n} FROM (SELECT {by} unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM v {where}) GROUP BY {by} i"
     return {
         "exact_knn": f"WITH {_V}, {_exact('v')} SELECT * FROM exact",
+        "vec_file_roundtrip": f"WITH {_V} SELECT row_number() OVER (ORDER BY id) - 1 AS id, list_sum(vec)::BIGINT AS total, vec[1]::INT AS head FROM v",
+        "mutation_batch": "SELECT vec_id FROM embeddings WHERE vec_id >= 400 OR vec_id % 7 <> 3",
         "ann_search": f"{ann} SELECT * FROM found",
         "ann_search_full_beam": f"WITH {_V}, {_exact('v')} SELECT * FROM exact",
         "ann_increasing_similarity": f"{ann} SELECT qid, (count(*) OVER (PARTITION BY qid) - rank + 1)::INT AS rank, vec_id, distance FROM found",
