@@ -296,14 +296,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """One row of each class (the one with the smallest doc_id), and all rows with null text, with all columns."""
+    """One row of each class (one with the smallest doc_id, also where that row is repeated), and all rows with null text, with all columns."""
     roots = links(docs)
-    rows = docs.select("doc_id", text_key().alias("key")).where("key IS NOT NULL")
-    rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("doc_id_"), F.col("x.key").alias("key_"))
+    rows = docs.select("doc_id", text_key().alias("key")).where("key IS NOT NULL").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", "n", F.coalesce("root", "key").alias("root"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("x")).select(F.col("x.doc_id").alias("doc_id_"), F.col("x.key").alias("key_"), F.col("x.n").alias("n"))
+    first = stored(first)
+    # Apart, as they are few: only repeated rows need to be brought together.
+    again = stored(first.where("n > 1"))
     keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id_"), text_key().alias("key"))
-    one = keyed.join(first, keyed["key"].eqNullSafe(first["key_"]) & keyed["id_"].eqNullSafe(first["doc_id_"]), "left_semi")
-    kept = one.where("key IS NOT NULL").unionByName(keyed.where("key IS NULL"))
+    chosen = lambda x: keyed.join(x, keyed["key"].eqNullSafe(x["key_"]) & keyed["id_"].eqNullSafe(x["doc_id_"]), "left_semi").where("key IS NOT NULL")
+    kept = chosen(first.where("n = 1")).unionByName(chosen(again).dropDuplicates(["key"])).unionByName(keyed.where("key IS NULL"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -45,6 +45,13 @@ def test_near_copies(docs, empty):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [0, *range(3, 10)]
 
 
+def test_repeated_rows(docs):
+    """Rows ingested more than once, ids and all: one stays of each class, and every row without text."""
+    more = docs.unionByName(docs.where("doc_id IN (0, 3, 5, 8)")).unionByName(docs.where("doc_id IN (0, 8)")).unionByName(docs.where("doc_id = 9").selectExpr("cast(null as bigint) AS doc_id", *docs.columns[1:]))
+    got = neardup.without_copies(more.unionByName(more.where("doc_id IS NULL"))).select("doc_id", "text").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, i) for i in (0, 3, 3, 4, 5, 6, 7, 8)] + [(True, 0)]
+
+
 def test_substrings(spark, docs, empty):
     got = rows(substrings.cleaned(docs))
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
