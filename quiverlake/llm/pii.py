@@ -1,10 +1,10 @@
 """Personal data: a semi-Markov conditional random field beside fixed patterns.
 
-Around every digit, ``@`` or spelled-out ``at``/``dot`` the text is cut into tokens. Every run of up to ``MAX_TOKENS``
-tokens that may be an entity is scored as a whole (shape, length, check digits, separators, cue words before it), and
-dynamic programming chooses the best cover of the tokens by entities and single other tokens, so that boundaries and
-types are decided together. Elsewhere in the text no entity is possible, so this equals a pass over all tokens. The
-field is trained by maximum likelihood on sentences made from a seeded generator.
+Around every digit, ``@``, spelled-out ``at``/``dot`` or printed IBAN the text is cut into tokens. Every run of tokens that
+may be an entity (of ``SHORT`` tokens, or as long as its kind can be) is scored as a whole (shape, length, check digits,
+separators, cue words before it), and dynamic programming chooses the best cover of the tokens by entities and single
+other tokens, so that boundaries and types are decided together. Elsewhere in the text no entity is possible, so this
+equals a pass over all tokens. The field is trained by maximum likelihood on sentences made from a seeded generator.
 
 The fixed patterns' matches always stay; the field's segments are added where they overlap none of these.
 
@@ -30,7 +30,8 @@ from .common import chunks, table
 #: In the order in which spans are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "ssn")
-MAX_TOKENS = 14
+#: Tokens of the runs that are tried whatever they hold, and characters of the longest entity.
+SHORT, LONGEST = 14, 320
 #: Training: sentences, passes, step, penalty.
 SENTENCES, PASSES, STEP, PENALTY = 240, 4, 0.5, 1e-4
 
@@ -88,6 +89,13 @@ _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W]+|\S|\s+")
 _TRIGGER = re.compile(r"\S*[0-9@]\S*|\S+\s?[\[(]\s?at\s?[\])]\s?\S+(?:\s?[\[(]?\s?dot\s?[\])]?\s?\S+)*|\S+ at \S+(?: dot \S+)+")
 _SPELLED = ("(at)", "[at]", "( at )", " dot ")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[(]\s?at\s?[\])]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])]|\sdot\s)\s?[A-Za-z0-9-]+)+")
+_AT = re.compile(r"\s?[\[(]\s?at\s?[\])]\s?|\sat\s")
+_BRACKETED_AT = re.compile(r"[\[(]\s?at\s?[\])]")
+_SPELLED_DOT = re.compile(r"\sdot\s")
+# As far as each kind goes from its start: 34 characters of an IBAN in groups and 19 digits of a number.
+_IBAN_RUN = re.compile(r"[A-Z]{2}\d\d[ A-Z0-9]{0,38}")
+_IBAN_PRINTED = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{1,4}(?![A-Za-z0-9])")
+_NUMBER_RUN = re.compile(r"(?:[ ().+/-]{0,3}[0-9]){1,19}")
 _CUES = {
     "email": re.compile(r"(?i)\b(e-?mail|mail|contact|reach)\W*(\w+\W+)?$"),
     "ip": re.compile(r"(?i)\b(ip|host|server|address|from)\W*(\w+\W+)?$"),
@@ -103,16 +111,27 @@ def tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, lo, hi)]
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled-out at, from each outwards; without brackets, only those with a spelled-out dot."""
+    for m in _AT.finditer(text):
+        lo = m.start()
+        while lo > 0 and m.start() - lo < LONGEST and text[lo - 1] in _LOCAL:
+            lo -= 1
+        found = _MAIL.match(text, lo) if lo < m.start() else None
+        if found and (_BRACKETED_AT.search(m[0]) or _SPELLED_DOT.search(found[0])):
+            yield found.span()
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
     """Stretches outside which no entity is possible; neighbours within two characters are one."""
     lo = hi = -1
-    for m in _TRIGGER.finditer(text):
-        if lo >= 0 and m.start() - hi <= 2:
-            hi = m.end()
+    for start, end in sorted([*(m.span() for m in _TRIGGER.finditer(text)), *(m.span() for m in _IBAN_PRINTED.finditer(text)), *spelled(text)]):
+        if lo >= 0 and start - hi <= 2:
+            hi = max(hi, end)
         else:
             if lo >= 0:
                 yield lo, hi
-            lo, hi = m.span()
+            lo, hi = start, end
     if lo >= 0:
         yield lo, hi
 
@@ -124,7 +143,7 @@ def _shape(s: str) -> tuple[tuple[str, str], ...]:
     n, out = len(digits), []
     add = lambda kind, *names: out.extend((kind, x) for x in names)
     spaces = s.count(" ")
-    if ("@" in s or " at " in s or "at" in s and ("(" in s or "[" in s)) and len(s) < 320:
+    if ("@" in s or " at " in s or "at" in s and ("(" in s or "[" in s)) and len(s) <= LONGEST:
         add("email", "form" if _MAIL.fullmatch(s) else "other", f"spaces{min(spaces, 5)}")
     if n and not re.search(r"[^0-9.]", s) and s.count(".") == 3:
         add("ip", "valid" if re.fullmatch(r"\d+(\.\d+){3}", s) and all(int(x) <= 255 for x in s.split(".")) else "other")
@@ -146,14 +165,21 @@ def _shape(s: str) -> tuple[tuple[str, str], ...]:
 def segments(text: str, toks: list[tuple[int, int]]) -> list[list[tuple[int, str, list[str]]]]:
     """For each end (token count) the candidate segments (first token, kind, features)."""
     out: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(len(toks) + 1)]
+    stop = toks[-1][1] if toks else 0
     for i, (lo, _) in enumerate(toks):
         if not (text[lo].isalnum() or text[lo] in "+(") or text[lo] == "(" and lo and text[lo - 1].isalnum():
             continue
         before = text[max(0, lo - 40) : lo]
         left = "bare" if not before or before[-1].isspace() or before[-1] in "\"'(<:=|[" else "joined"
-        for j in range(i + 1, min(i + MAX_TOKENS, len(toks)) + 1):
+        mail = _MAIL.match(text, lo, min(stop, lo + LONGEST))
+        whole = reach = mail.end() if mail else lo
+        if len(toks) - i > SHORT:
+            reach = max(reach, *(m.end() for run in (_IBAN_RUN, _NUMBER_RUN) if (m := run.match(text, lo, stop))), lo)
+        for j in range(i + 1, len(toks) + 1):
             hi = toks[j - 1][1]
-            if not text[hi - 1].isalnum() or hi - lo > 320:
+            if hi - lo > LONGEST or j - i > SHORT and hi > reach:
+                break
+            if not text[hi - 1].isalnum():
                 continue
             right = "bare" if hi == len(text) or not (text[hi].isalnum() or text[hi] in "-_@/" and hi + 1 < len(text) and text[hi + 1].isalnum() or text[hi] == "." and hi + 1 < len(text) and text[hi + 1].isalnum()) else "joined"
             found: dict[str, list[str]] = {}
@@ -163,6 +189,8 @@ def segments(text: str, toks: list[tuple[int, int]]) -> list[list[tuple[int, str
                 cue = "cue" if _CUES[kind].search(before) else "nocue"
                 if kind == "email" and "form" not in features:
                     continue
+                if kind == "email":
+                    features = [*features, "whole" if hi == whole else "cut"]
                 out[j].append((i, kind, [f"{kind}:{x}" for x in (*features, "bias", f"left-{left}", f"right-{right}", cue)]))
     return out
 
@@ -240,14 +268,19 @@ def example(rng: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
         return rng.choice([d, d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
 
     def iban() -> str:
-        body = digits(18)
-        check = 98 - int(body + str(int("D", 36)) + str(int("E", 36)) + "00") % 97
-        s = f"DE{check:02d}{body}"
-        return rng.choice([s, " ".join(s[i : i + 4] for i in range(0, 22, 4))])
+        letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+        country, body = rng.choice([("DE", digits(18)), ("DE", digits(18)), ("GB", letters(4) + digits(14)), ("PL", digits(24)), ("MT", letters(4) + digits(5) + letters(4) + digits(9))])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country) + "00") % 97
+        s = f"{country}{check:02d}{body}"
+        return rng.choice([s, " ".join(s[i : i + 4] for i in range(0, len(s), 4))])
+
+    def hidden() -> str:
+        at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", ".")])
+        return rng.choice(["", f"{word()}."]) + word() + at + dot.join([*(word() for _ in range(rng.randint(1, 3))), rng.choice(["com", "org"])])
 
     host = lambda: f"{word()}.{rng.choice(['com', 'org', 'example.net'])}"
     made = {
-        "email": lambda: rng.choice([f"{word()}.{digits(2)}@{host()}", f"{word()}@{host()}", f"{word()} (at) {word()}.com", f"{word()} [at] {word()} [dot] org", f"{word()} at {word()} dot com"]),
+        "email": lambda: rng.choice([f"{word()}.{digits(2)}@{host()}", f"{word()}@{host()}", f"{word()} (at) {word()}.com", f"{word()} [at] {word()} [dot] org", f"{word()} at {word()} dot com", hidden(), hidden()]),
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: rng.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+49 {digits(3)} {digits(7)}", f"0{digits(3)} {digits(7)}", f"0{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"]),
@@ -295,7 +328,7 @@ def spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[str, int, in
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     more = []
-    if base or _DIGIT.search(text) or any(x in text for x in ("@", *_SPELLED)):
+    if base or _DIGIT.search(text) or any(x in text for x in ("@", *_SPELLED)) or _BRACKETED_AT.search(text):
         for lo, hi in regions(text):
             for kind, a, b in decode(text, tokens(text, lo, hi), weights):
                 if not any(a < y and x < b for x, y in taken):

@@ -86,6 +86,13 @@ def test_pii(docs, empty):
     assert masked[6]["text"] == "mail [EMAIL] or [PHONE]" and masked[3]["text"] is None and masked[6]["n_chars"] == 23
 
 
+@pytest.mark.parametrize("kind, entity", [("iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"), ("iban", "GB29 NWBK 6016 1331 9268 19"), ("email", "j.doe at mail dot example dot com"), ("email", "john.doe (at) mail (dot) example (dot) com"), ("email", "j2 [at] uni [dot] cs [dot] example [dot] org")])
+def test_pii_long(kind, entity):
+    text = f"please use {entity} from now on"
+    found = pii.spans(text, pii.trained())[1]
+    assert found == [(kind, 11, 11 + len(entity))] and pii.masked(text, found) == f"please use [{kind.upper()}] from now on"
+
+
 def test_licences(docs, empty):
     got = rows(licenses.scan(docs))
     assert (got[7]["base_labels"], got[7]["n_base"], got[7]["first_word"], got[7]["score"]) == ("mit", 1, 3, 1.0)
