@@ -6,6 +6,9 @@ words of each template are put in one global order, rarest in the corpus first.
 ``need`` different words (length), and what remains after its first shared word suffices (position); what passes is
 compared in full. So every block that meets the threshold is found.
 
+Wrapped notices: lines in a row without a sentence end or empty line between them are one more block, in which a template's
+words must lie within ``SPREAD`` times its size; templates of up to ``SHORT`` words must stand without others between them.
+
 Phrases are found besides: their words in a row anywhere in the text.
 
 Nulls are empty texts: no words, no places, empty labels, score 0. Ties do not matter: sets of labels are sorted.
@@ -27,6 +30,7 @@ from .common import chunks, table
 from .textvec import LETTERED, LOWER, Words, flat, hash_word
 
 THRESHOLD = 0.8
+SPREAD, SHORT = 2, 4
 #: Phrase, label. Fixed values.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Label, sentence of a notice.
@@ -54,6 +58,7 @@ TEMPLATES = [
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("proprietary", "All rights reserved, no part of this publication may be reproduced without prior written permission"),
+    ("proprietary", "All rights reserved"),
 ]
 
 
@@ -77,9 +82,8 @@ class Templates:
         self.prefix = np.array(sorted(self.by_prefix), np.uint64)
         self.hashes = [[hash_word(w) for w in s] for _, s in self.sets]
 
-    def matches(self, block: set[int]) -> list[tuple[int, float, bool]]:
-        """(template, containment, best) of all templates that the block holds to the threshold; best: with the largest
-        containment, then the most words, ties included."""
+    def matches(self, block: set[int]) -> list[int]:
+        """All templates that the block holds to the threshold."""
         out, seen = [], set()
         for h in block:
             for i, at in self.by_prefix.get(h, ()):
@@ -89,13 +93,26 @@ class Templates:
                 if any(x in block for x in words[:at]):
                     continue  # judged from the first shared word
                 seen.add(i)
-                if len(words) - at < self.need[i]:
-                    continue
-                got = sum(x in block for x in words[at:])
-                if got >= self.need[i]:
-                    out.append((i, got / len(words), got))
-        top = max((x[1:] for x in out), default=None)
-        return [(i, share, (share, got) == top) for i, share, got in out]
+                if len(words) - at >= self.need[i] and sum(x in block for x in words[at:]) >= self.need[i]:
+                    out.append(i)
+        return out
+
+    def places(self, i: int, words: list[int], wrapped: bool) -> tuple[float, list[int]] | None:
+        """Containment and places of template ``i`` in the words of a block, or none where they are spread too far."""
+        own = set(self.hashes[i])
+        at = [j for j, h in enumerate(words) if h in own]
+        width = len(own) if len(own) <= SHORT else SPREAD * len(own) if wrapped else len(words)
+        best, lo, held = (0, 0, 0), 0, {}
+        for hi, j in enumerate(at):
+            held[words[j]] = held.get(words[j], 0) + 1
+            while j - at[lo] >= width or held[words[at[lo]]] > 1 and width < len(words):
+                held[words[at[lo]]] -= 1
+                if not held[words[at[lo]]]:
+                    del held[words[at[lo]]]
+                lo += 1
+            if len(held) > best[0] or len(held) == best[0] and width >= len(words):
+                best = (len(held), lo, hi + 1)
+        return (best[0] / len(own), at[best[1] : best[2]]) if best[0] >= self.need[i] else None
 
 
 def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -125,7 +142,7 @@ def template_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[s
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (of each block's best templates), score and ``blocks``: label, first word, number of words, containment of every block found."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (of templates whose words do not lie inside another's match), score and ``blocks``: label, first word, number of words, containment of every block found."""
     known = Templates(templates, threshold, template_counts(docs, templates))
     phrase_keys = [([hash_word(w) for w in p.split()], label) for p, label in phrases]
     block_type = pa.struct([("label", pa.string()), ("first", pa.int64()), ("words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())])
@@ -155,10 +172,26 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                 ends = (data == 10) | (np.isin(data, (33, 46, 63)) & ~SPACED_AFTER[after])
                 block = np.concatenate([[0], np.cumsum(ends)])[w.start] + w.doc
                 lo, hi = np.searchsorted(block, block[hit], "left"), np.searchsorted(block, block[hit], "right")
-                for a, z in sorted(set(zip(lo.tolist(), hi.tolist(), strict=True))):
-                    for i, share, best in known.matches(set(w.hash[a:z].tolist())):
-                        d = int(w.doc[a])
-                        found[d].append({"label": known.sets[i][0], "first": a - int(w.first[d]), "words": z - a, "containment": share, "best": best})
+                line = np.concatenate([[0], np.cumsum(data == 10)])[w.start]
+                sentence = np.concatenate([[0], np.cumsum(ends & (data != 10))])[w.start]
+                lines = np.concatenate([[0], np.cumsum((np.diff(w.doc) != 0) | (np.diff(sentence) != 0) | (np.diff(line) > 1))])
+                first, last = np.searchsorted(lines, lines[hit], "left"), np.searchsorted(lines, lines[hit], "right")
+                by_lines: dict[int, list[tuple[int, int, int, float, set[int]]]] = {}
+                blocks = sorted(set(zip(lo.tolist(), hi.tolist(), strict=True)))
+                wrapped = sorted(x for x in set(zip(first.tolist(), last.tolist(), strict=True)) if line[x[0]] != line[x[1] - 1])
+                for a, z, over in [*((a, z, False) for a, z in blocks), *((a, z, True) for a, z in wrapped)]:
+                    words = w.hash[a:z].tolist()
+                    got = by_lines.setdefault(int(lines[a]), [])
+                    known_here = {x[2] for x in got} if over else set()
+                    for i in known.matches(set(words)):
+                        if i not in known_here and (held := known.places(i, words, over)):
+                            at = {a + x for x in held[1]}
+                            got.append((min(at) if over else a, max(at) + 1 - min(at) if over else z - a, i, held[0], at))
+                for got in by_lines.values():
+                    for start, size, i, share, at in got:
+                        d = int(w.doc[start])
+                        best = not any(at < y[4] or at == y[4] and share < y[3] for y in got)
+                        found[d].append({"label": known.sets[i][0], "first": start - int(w.first[d]), "words": size, "containment": share, "best": best})
             found = [sorted(x, key=lambda y: (y["first"], y["label"], -y["containment"])) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -99,6 +99,13 @@ def test_licences(docs, empty):
     assert got[3]["labels"] == "" and got[3]["first_word"] is None and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licences(spark):
+    mit = " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files, to deal in it.\n"
+    texts = [mit, "Text.\nAll rights reserved.", "All human rights are to be reserved.", "Licensed under the Apache License, Version 2.0 and " + mit.replace("\n", " "), "Licensed under CC BY-SA 4.0", "Licensed under CC BY 4.0", "This Permission is\n\nhereby granted, free of charge, to any person\n\nobtaining a copy of this software and\n\nassociated documentation files"]
+    got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [got[i]["labels"] for i in range(7)] == ["mit", "proprietary", "", "apache,mit", "cc-by-sa", "cc-by", ""]
+
+
 def test_bpe(docs, empty):
     P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     path = P.path("byte_bpe_multi_50k.tiktoken")
