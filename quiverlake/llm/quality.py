@@ -1,11 +1,17 @@
 """Quality rules by weak supervision, with DataFrame functions only.
 
-Every rule votes good (1), bad (0) or abstains (-1) on a text. Expectation-maximisation over the counts of vote patterns
-(at most 3 to the number of rules, whatever the corpus) estimates each rule's vote probabilities given the hidden class,
-and a text's posterior probability of being good decides.
+Every rule votes good (1), bad (0) or abstains (-1) on a text, each by its own evidence, so that good and bad votes meet on
+one text. Nobody says how good a rule is: expectation-maximisation over the counts of vote patterns (at most 3 to the
+number of rules, whatever the corpus; the only thing collected) estimates the share of good texts and, for each hidden
+class, how often a rule votes good, bad or abstains. A text's posterior probability of being good decides: a bad vote
+of a rule that often errs is outvoted, and abstentions count for what they are worth.
+
+The model is fitted on the texts that it decides, those that don't fail outright. A rule's vote shares in a class start from
+``START``, a belief that weighs as much as ``BELIEF`` of those texts, so that it counts alike at every size.
 
 A null text has no words. A text under ``MIN_WORDS`` words, or with more than half of its words in repeated three-word
-windows, fails outright. Empty tables give no rows, repeated rows are judged one by one, other columns are ignored.
+windows, fails outright. Ties (a posterior of one half) are good. Empty tables give no rows, repeated rows are judged one
+by one, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +25,9 @@ from .common import stored, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
-ITERATIONS = 25
-#: Share of good texts before any vote; a rule's accuracy starts at PRIOR_ACCURACY, a belief worth PRIOR_WEIGHT votes.
-BALANCE, PRIOR_WEIGHT, PRIOR_ACCURACY = 0.5, 20.0, 0.85
+ITERATIONS = 100
+#: A rule's shares of good, bad and no votes in good texts and in bad ones, before any text is seen; and the weight of that.
+START, BELIEF = {True: (0.70, 0.02, 0.28), False: (0.40, 0.30, 0.30)}, 0.001
 
 
 def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,7 +55,9 @@ def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count("t", F.lit("[a-z]")).cast("long").alias("n_lower"),
-        F.regexp_count("t", F.lit("[!?]{2}|[|{}\\[\\]<>=;]")).cast("long").alias("n_marks"),
+        F.regexp_count("t", F.lit(r"[!?]{2}|[{}\[\]=;]")).cast("long").alias("n_marks"),
+        F.regexp_count("t", F.lit(r"[.!?](?![^\x20\x09-\x0D])")).cast("long").alias("n_ends"),
+        F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:?!]?+(?![^\x20\x09-\x0D])")).cast("long").alias("n_plain"),
     )
 
 
@@ -58,20 +66,18 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote from the features of one text. Shares are compared as products, so that no text divides by 0.
-
-    Most rules look for one defect and abstain without it; that a text lacks one defect says little about the others."""
-    n, c, none = F.col("n_words"), F.col, F.lit(False)
-    prose = (n >= 20) & (50 * c("n_symbols") <= n) & (20 * c("n_marks") <= n) & (4 * c("n_upper") <= c("n_lower")) & (10 * c("n_repeat_words") <= n) & (10 * c("n_dup_lines") <= c("n_lines")) & (c("word_chars") >= 3 * n) & (c("word_chars") <= 9 * n)
+    """Each rule's vote from the features of one text. Shares are compared as products, so that no text divides by 0."""
+    n, c = F.col("n_words"), F.col
     return {
-        "length": _vote(n < 20, none),
-        "symbols": _vote(10 * c("n_symbols") > n, none),
-        "word_length": _vote((c("word_chars") > 12 * n) | (c("word_chars") < 2 * n), none),
-        "duplicate_lines": _vote(4 * c("n_dup_lines") > c("n_lines"), none),
-        "repeated_words": _vote(4 * c("n_repeat_words") > n, none),
-        "capitals": _vote(c("n_upper") > c("n_lower"), none),
-        "marks": _vote(10 * c("n_marks") > n, none),
-        "prose": _vote(none, prose),
+        "length": _vote(n < 20, n >= 100),
+        "symbols": _vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
+        "word_length": _vote((c("word_chars") > 10 * n) | (c("word_chars") < 3 * n), (c("word_chars") <= 7 * n) & (2 * c("word_chars") >= 7 * n)),
+        "duplicate_lines": _vote(4 * c("n_dup_lines") > c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 2)),
+        "repeated_words": _vote(4 * c("n_repeat_words") > n, 20 * c("n_repeat_words") <= n),
+        "capitals": _vote(c("n_upper") > c("n_lower"), 8 * c("n_upper") <= c("n_lower")),
+        "marks": _vote(10 * c("n_marks") > n, 50 * c("n_marks") <= n),
+        "sentences": _vote((100 * c("n_ends") < n) | (3 * c("n_ends") > n), (50 * c("n_ends") >= n) & (4 * c("n_ends") <= n)),
+        "plain_words": _vote(10 * c("n_plain") < 6 * n, 10 * c("n_plain") >= 9 * n),
     }
 
 
@@ -79,38 +85,64 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def posterior(accuracy: dict[str, float], votes: dict[str, str]) -> Column:
-    """P(good | votes) as an expression; ``votes`` names each rule's vote column. Abstaining says nothing."""
-    total = F.lit(math.log(BALANCE / (1 - BALANCE)))
-    for rule, column in votes.items():
-        weight = math.log(accuracy[rule] / (1 - accuracy[rule]))
-        total = total + F.when(F.col(column) == 1, weight).when(F.col(column) == 0, -weight).otherwise(0.0)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+class LabelModel:
+    """balance: share of good texts; shares[rule][class][vote]: how often the rule votes so on texts of the class."""
+
+    def __init__(self, balance: float, shares: dict[str, dict[bool, dict[int, float]]]):
+        self.balance, self.shares = balance, shares
+        #: Evidence of each vote: log of its share in good texts over that in bad ones.
+        self.weights = {r: {v: math.log(x[True][v] / x[False][v]) for v in (1, 0, -1)} for r, x in shares.items()}
+        self.start = math.log(balance / (1 - balance))
+
+    def quality(self, votes: dict[str, str]) -> Column:
+        """P(good | votes) as an expression; ``votes`` names each rule's vote column."""
+        total = F.lit(self.start)
+        for rule, column in votes.items():
+            w = self.weights[rule]
+            total = total + F.when(F.col(column) == 1, w[1]).when(F.col(column) == 0, w[0]).otherwise(w[-1])
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+    def probability(self, pattern: tuple[int, ...]) -> float:
+        total = self.start + sum(w[v] for w, v in zip(self.weights.values(), pattern, strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def fit(features: DataFrame, iterations: int = ITERATIONS) -> dict[str, float]:
-    """Each rule's accuracy by expectation-maximisation; a step is one aggregate over the stored pattern counts."""
+def fit(features: DataFrame, iterations: int = ITERATIONS) -> LabelModel:
+    """The label model by expectation-maximisation over the counts of vote patterns, which are collected once."""
     names = list(rules())
-    patterns = stored(features.select(*[v.alias(r) for r, v in rules().items()]).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("texts")).coalesce(1))
-    accuracy = dict.fromkeys(names, PRIOR_ACCURACY)
-    for _ in range(iterations):
-        p = posterior(accuracy, {r: r for r in names})
-        got = patterns.agg(
-            *[F.sum(F.when(F.col(r) == 1, F.col("texts") * p).when(F.col(r) == 0, F.col("texts") * (1 - p)).otherwise(0.0)).alias(f"right_{r}") for r in names],
-            *[F.sum(F.when(F.col(r) >= 0, F.col("texts")).otherwise(0.0)).alias(f"votes_{r}") for r in names],
-        ).first()
-        new = {r: min(0.99, max(0.51, ((got[f"right_{r}"] or 0.0) + PRIOR_WEIGHT * PRIOR_ACCURACY) / ((got[f"votes_{r}"] or 0.0) + PRIOR_WEIGHT))) for r in names}
-        moved, accuracy = max(abs(new[r] - accuracy[r]) for r in names), new
-        if moved < 1e-6:
+    counted = features.where(~base_failed()).select(*[v.alias(r) for r, v in rules().items()]).groupBy(*names).agg(F.count(F.lit(1)).alias("texts"))
+    patterns = sorted((tuple(r[k] for k in names), r["texts"]) for r in counted.collect())
+    return estimate(names, patterns, iterations)
+
+
+def estimate(names: list[str], patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> LabelModel:
+    """The label model from (votes, texts); without texts, what is believed before."""
+    texts = sum(n for _, n in patterns)
+    belief = BELIEF * texts
+    model = LabelModel(0.5, {r: {c: dict(zip((1, 0, -1), START[c], strict=True)) for c in (True, False)} for r in names})
+    for _ in range(iterations if patterns else 0):
+        sums = {r: {c: {v: belief * x for v, x in zip((1, 0, -1), START[c], strict=True)} for c in (True, False)} for r in names}
+        good = 0.0
+        for pattern, n in patterns:
+            p = model.probability(pattern)
+            good += n * p
+            for r, v in zip(names, pattern, strict=True):
+                sums[r][True][v] += n * p
+                sums[r][False][v] += n * (1 - p)
+        shares = {r: {c: {v: x / sum(by_vote.values()) for v, x in by_vote.items()} for c, by_vote in by_class.items()} for r, by_class in sums.items()}
+        new = LabelModel((good + belief / 2) / (texts + belief), shares)
+        moved = max(abs(new.weights[r][v] - model.weights[r][v]) for r in names for v in (1, 0, -1))
+        model = new
+        if moved < 1e-9:
             break
-    return accuracy
+    return model
 
 
 def verdicts(features: DataFrame) -> DataFrame:
     """Votes, ``quality`` (posterior), base_failed and kept beside the columns of stored ``features``."""
-    accuracy = fit(features)
+    model = fit(features)
     out = features.select("*", *[v.alias(f"vote_{r}") for r, v in rules().items()])
-    out = out.withColumn("quality", posterior(accuracy, {r: f"vote_{r}" for r in rules()})).withColumn("base_failed", base_failed())
+    out = out.withColumn("quality", model.quality({r: f"vote_{r}" for r in rules()})).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
