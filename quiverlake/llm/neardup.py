@@ -2,31 +2,33 @@
 
 1. Equal texts are one (by SHA-256); everything below works on different texts.
 2. A shingle is five words in a row, A-Z lower-cased; a shorter text is one shingle. Its weight is its count times the
-   inverse document frequency of its bucket among ``BUCKETS`` hash buckets (feature hashing): counts cover all texts,
-   and what is broadcast has a fixed size.
+   root of the inverse document frequency of its bucket among ``BUCKETS`` hash buckets (feature hashing): counts cover all
+   texts, and what is broadcast has a fixed size. Texts that share a bucket only make it look more frequent.
 3. Each of ``BANDS * ROWS`` samples picks a shingle with probability by weight, the same in two texts with a probability
    equal to their weighted Jaccard similarity. Texts whose samples agree in a whole band are candidates.
 4. In each bucket of a band every text is compared with the bucket's smallest (a star). Then buckets that still hold
-   several components are dealt out in blocks, and pairs across components are compared block against block unless
-   already joined. So no pairs are emitted, and no candidate link that could join two components is left out.
+   several components are dealt out in blocks, of bounded number and size of texts, and all pairs across components are
+   compared block against block unless already joined: one text with all others at once, exactly. So no pairs are
+   emitted, and no candidate link that could join two components is left out.
 5. A link needs a weighted Jaccard similarity of at least ``SIMILARITY`` on the whole texts. Components of links are the
    classes; the smallest doc_id stands for its class.
 
 A null text is in a class of its own, as is a text without words unless equal to another. Rows with the same text are in
-one class. Other columns are ignored, or kept by ``without_copies``.
+one class. A row without doc_id is kept only where its class has no doc_id. Other columns are ignored, or kept by
+``without_copies``. Very long texts count in full.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_stored, shared_dir, stored, table
+from .common import chunks, drop_stored, stored, stored_bucketed, table
 from .components import components, joined
 from .textvec import LOWER, SPACED, Words, flat, mixed, windows
 
@@ -34,11 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 BUCKETS = 1 << 18
-SMOOTH = 0.01
-#: Texts in a block, and texts compared with one copy of a star's centre.
-BLOCK, FAN = 256, 512
-#: Pairs whose samples agree in less than this share are not compared in full: three standard deviations under SIMILARITY.
-LEAST_AGREEMENT = 0.6
+#: Texts and bytes in a block (one text at least), and texts compared with one copy of a star's centre.
+BLOCK, BLOCK_BYTES, FAN = 256, 1 << 23, 512
 
 K = BANDS * ROWS
 _rng = np.random.default_rng(0x1C35)
@@ -148,12 +147,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse(df: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequency, from 1 (in all texts) to 1.5 (rare), smoothed by SMOOTH of all texts.
+    """Root of the inverse document frequency ln((1 + n) / (1 + df)) + 1.
 
-    Unsmoothed, a large group of near copies would lower the weight of its own shingles, so that each copy's few changed
-    words outweighed the rest and the group fell apart."""
-    s = SMOOTH * n + 1.0
-    return 1.0 + 0.5 * np.log((n + s) / (df + s)) / np.log((n + s) / s) if n else np.ones(len(df))
+    The root, as a large group of near copies lowers the weight of its own shingles: with the logarithm itself, the few
+    words changed in each copy would outweigh the rest and the group fall apart."""
+    return np.sqrt(np.log((1.0 + n) / (1.0 + np.minimum(df, n))) + 1.0)
 
 
 def compared(pairs: DataFrame, idf) -> DataFrame:
@@ -177,46 +175,41 @@ def compared(pairs: DataFrame, idf) -> DataFrame:
 
 
 def within_blocks(groups, idf) -> DataFrame:
-    """Links that join components, from blocks (band, i, j) of rows (key, label, bands, sample, text, side)."""
+    """Links that join components, from blocks (band, i, j) of rows (key, label, bands, text, side)."""
 
     def run(group: pa.Table) -> pa.Table:
-        weight = idf.value
         t = group.sort_by([("key", "ascending"), ("side", "ascending")])
         keys, labels, side = t.column("key").to_pylist(), t.column("label").to_pylist(), t.column("side").to_numpy()
         band = t.column("band")[0].as_py()
         across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        sample = np.frombuffer(b"".join(t.column("sample").to_pylist()), np.uint32).reshape(-1, K)
-        codes = band_keys(sample).view(np.int64)
+        codes = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-        label = np.array([number[x] for x in labels])
-        parent = list(range(len(number)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        s = None
-        out = []
+        component = np.array([number[x] for x in labels])
+        s, out = None, []
         for x in range(len(keys)):
             if across and side[x] == 1:
                 continue
             other = np.flatnonzero(side == 1) if across else np.arange(x + 1, len(keys))
-            roots = np.array([root(i) for i in range(len(parent))])
-            other = other[roots[label[other]] != roots[label[x]]]
-            other = other[(sample[other] == sample[x]).mean(axis=1) >= LEAST_AGREEMENT]
-            for y in other.tolist():
-                # A pair belongs to the first band that it shares.
-                if codes[x][codes[x] == codes[y]][0] != band or root(label[x]) == root(label[y]):
-                    continue
-                if s is None:
-                    s = Shingles(t.column("text").combine_chunks())
-                    w = s.weights(weight)
-                p, q = slice(s.first[x], s.first[x + 1]), slice(s.first[y], s.first[y + 1])
-                if jaccard(s.hash[p], w[p], s.hash[q], w[q]) >= SIMILARITY:
+            other = other[component[other] != component[x]]
+            # A pair belongs to the first band that it shares.
+            shared = codes[other] == codes[x]
+            other = other[codes[x][shared.argmax(axis=1)] == band] if len(other) else other
+            if not len(other):
+                continue
+            if s is None:
+                s = Shingles(t.column("text").combine_chunks())
+                w = s.weights(idf.value)
+                different, at = np.unique(s.hash, return_inverse=True)
+                own, total = np.zeros(len(different)), np.add.reduceat(w, s.first[:-1])
+            mine = slice(s.first[x], s.first[x + 1])
+            own[at[mine]] = w[mine]
+            low = np.add.reduceat(np.minimum(own[at], w), s.first[:-1])
+            own[at[mine]] = 0.0
+            similar = low[other] >= SIMILARITY * (total[x] + total[other] - low[other])
+            for y in other[similar].tolist():
+                if component[y] != component[x]:
                     out.append((keys[x], keys[y]))
-                    parent[root(label[y])] = root(label[x])
+                    component[component == component[y]] = component[x]
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
     return groups.applyInArrow(run, "a binary, b binary")
@@ -228,20 +221,13 @@ def text_key(text: str = "text"):
 
 def links(docs: DataFrame) -> DataFrame:
     """(node, root) keys of texts that have near copies among other texts."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    name = f"texts_{uuid.uuid4().hex}"
     texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"])
     # Bucketed by key, so that the joins below move no texts but those that they are about.
-    path = f"{shared_dir(spark)}/table-{name}"
-    # As many buckets as the shuffle before has partitions: each task then writes the buckets that it holds.
-    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("compression", "zstd").option("path", path).saveAsTable(name)
-    written = spark.table(name)
+    written = stored_bucketed(texts, "key")
     try:
-        return _links(spark, written)
+        return _links(docs.sparkSession, written)
     finally:
         drop_stored(written)
-        spark.sql(f"DROP TABLE {name}")
 
 
 def _links(spark: SparkSession, texts: DataFrame) -> DataFrame:
@@ -255,12 +241,14 @@ def _links(spark: SparkSession, texts: DataFrame) -> DataFrame:
             some = pa.array(np.diff(s.first) > 0)
             keys = band_keys(x).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), bands], ["key", "sample", "bands"]).filter(some)
+            sizes = pc.binary_length(b.column(1)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, bands], ["key", "size", "bands"]).filter(some)
 
-    sketches = stored(texts.select("key", "text").mapInArrow(sketch, "key binary, sample binary, bands array<bigint>"))
-    rows = sketches.select("key", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("centre")).where("n > 1")
-    rows = stored(rows.join(full, "band").select("band", "key", "n", "centre"))
+    sketches = stored(texts.select("key", "text").mapInArrow(sketch, "key binary, size bigint, bands array<bigint>"))
+    rows = sketches.select("key", "size", F.explode("bands").alias("band"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks"), F.min("key").alias("centre")).where("n > 1")
+    rows = stored(rows.join(full, "band").select("band", "key", "blocks", "centre"))
 
     # Stars: every text of a bucket with its smallest. A centre with many texts is dealt out in copies.
     pairs = stored(rows.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
@@ -272,14 +260,14 @@ def _links(spark: SparkSession, texts: DataFrame) -> DataFrame:
     labels = components(found)
 
     # Buckets that hold several components yet.
-    labelled = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("label"))
+    labelled = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "blocks", F.coalesce("root", "key").alias("label"))
     labelled = stored(labelled)
     open_ = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    left = labelled.join(open_, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    left = labelled.join(open_, "band")
     left = left.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     left = left.select("band", "key", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = left.select("band", "key", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    left = left.join(sketches.select("key", "sample"), "key").join(texts.select("key", "text"), "key")
+    left = left.join(sketches.select("key", "bands"), "key").join(texts.select("key", "text"), "key")
     more = stored(within_blocks(left.groupBy("band", "i", "j"), idf))
     return joined(labels, more)
 
@@ -292,7 +280,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = stored(rows)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = rows.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
