@@ -13,10 +13,10 @@ from ..operators.index import Attributes, Index
 def save(index: Index, path: str) -> None:
     index.members.write.partitionBy("level").mode("overwrite").parquet(f"{path}/members")
     spark = index.members.sparkSession
-    spark.createDataFrame([(index.height, json.dumps(asdict(index.attributes)))], "height int, attributes string").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+    spark.createDataFrame([(index.height, index.version, index.doubled, json.dumps(asdict(index.attributes)))], "height int, version int, doubled boolean, attributes string").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 
 
 def load(spark: SparkSession, path: str) -> Index:
     head = spark.read.parquet(f"{path}/head").first()
     members = spark.read.parquet(f"{path}/members").select("level", "cluster_id", "entry_offset", "child_id", "state", "vec")
-    return Index(members, head["height"], Attributes(**json.loads(head["attributes"])))
+    return Index(members, head["height"], Attributes(**json.loads(head["attributes"])), head["version"], head["doubled"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.index import Index, compact, delete, insert
+from ..operators.growth import insert
+from ..operators.index import Index, compact, delete
 from ..sources.snapshot import load, save
 
 

@@ -50,7 +50,7 @@ def test_edges(spark):
     assert ix.size(ix.delete(index, everything)).first()["n"] == 0
     assert ix.not_found(index, spark.createDataFrame([(5,), (99,), (99,)], "vec_id bigint")).collect() == [(99,)]
     half = everything.where("vec_id < 16")
-    back = ix.insert(ix.compact(ix.delete(index, half)), ramp(spark).where("id < 16"), 10)
+    back = ix.append(ix.compact(ix.delete(index, half)), ramp(spark).where("id < 16"), 10)
     assert ix.size(back).first()["n"] == 32
     assert back.members.where("level = 1 AND state = 1").groupBy("child_id").count().where("count > 1").count() == 0
 
