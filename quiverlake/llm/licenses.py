@@ -1,10 +1,11 @@
 """Licence scans: exact set-similarity join of text blocks with templates.
 
 A block is a run of words without a line end or sentence end inside. A template is one sentence of a licence notice. The
-words of each template are put in one global order, rarest in the corpus first. A block can only hold a share
-``THRESHOLD`` of a template's words if it holds one of the template's first ``size - need + 1`` words (prefix), has
-``need`` different words (length), and what remains after its first shared word suffices (position); what passes is
-compared in full. So every block that meets the threshold is found.
+different words of templates and blocks are put in one global order, rarest in the corpus first. A block can only hold a
+share ``THRESHOLD`` of a template's words if it holds one of the template's first ``size - need + 1`` words (prefix), has
+``need`` words of templates (length), and, at each word shared in the prefix, what both have left suffices (position);
+what passes is compared in full. So every block that meets the threshold is found, and all its labels are reported;
+``closest`` has those whose words in the block don't lie inside another template's.
 
 Wrapped notices: lines in a row without a sentence end or empty line between them are one more block, in which a template's
 words must lie within ``SPREAD`` times its size; templates of up to ``SHORT`` words must stand without others between them.
@@ -75,27 +76,31 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]], threshold: float, counts: dict[str, int]):
         self.sets = [(label, sorted(set(_words(t)), key=lambda w: (counts.get(w, 0), w))) for label, t in templates]
         self.need = [max(1, ceil(threshold * len(s) - 1e-9)) for _, s in self.sets]
-        self.by_prefix: dict[int, list[tuple[int, int]]] = {}
-        for i, (_, s) in enumerate(self.sets):
-            for at, w in enumerate(s[: len(s) - self.need[i] + 1]):
-                self.by_prefix.setdefault(hash_word(w), []).append((i, at))
-        self.prefix = np.array(sorted(self.by_prefix), np.uint64)
         self.hashes = [[hash_word(w) for w in s] for _, s in self.sets]
+        every = sorted({w for _, s in self.sets for w in s}, key=lambda w: (counts.get(w, 0), w))
+        self.rank = {hash_word(w): r for r, w in enumerate(every)}
+        self.by_prefix: dict[int, list[tuple[int, int]]] = {}
+        for i, s in enumerate(self.hashes):
+            for at, h in enumerate(s[: len(s) - self.need[i] + 1]):
+                self.by_prefix.setdefault(self.rank[h], []).append((i, at))
+        self.prefix = np.array(sorted(h for h, r in self.rank.items() if r in self.by_prefix), np.uint64)
+
+    def candidates(self, block: set[int]) -> list[int]:
+        """Templates that pass the prefix, length and positional filters."""
+        known = sorted(self.rank[h] for h in block if h in self.rank)
+        shared: dict[int, int] = {}
+        for j, r in enumerate(known):
+            for i, at in self.by_prefix.get(r, ()):
+                if len(known) < self.need[i] or shared.get(i, 0) < 0:
+                    continue
+                # Words shared so far, this one, and as many as both have after it.
+                most = shared.get(i, 0) + 1 + min(len(self.hashes[i]) - at - 1, len(known) - j - 1)
+                shared[i] = shared.get(i, 0) + 1 if most >= self.need[i] else -1
+        return sorted(i for i, n in shared.items() if n > 0)
 
     def matches(self, block: set[int]) -> list[int]:
         """All templates that the block holds to the threshold."""
-        out, seen = [], set()
-        for h in block:
-            for i, at in self.by_prefix.get(h, ()):
-                if i in seen or len(block) < self.need[i]:
-                    continue
-                words = self.hashes[i]
-                if any(x in block for x in words[:at]):
-                    continue  # judged from the first shared word
-                seen.add(i)
-                if len(words) - at >= self.need[i] and sum(x in block for x in words[at:]) >= self.need[i]:
-                    out.append(i)
-        return out
+        return [i for i in self.candidates(block) if sum(h in block for h in self.hashes[i]) >= self.need[i]]
 
     def places(self, i: int, words: list[int], wrapped: bool) -> tuple[float, list[int]] | None:
         """Containment and places of template ``i`` in the words of a block, or none where they are spread too far."""
@@ -142,7 +147,7 @@ def template_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[s
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (of templates whose words do not lie inside another's match), score and ``blocks``: label, first word, number of words, containment of every block found."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, closest, score and ``blocks``: label, first word, number of words, containment of every block found."""
     known = Templates(templates, threshold, template_counts(docs, templates))
     phrase_keys = [([hash_word(w) for w in p.split()], label) for p, label in phrases]
     block_type = pa.struct([("label", pa.string()), ("first", pa.int64()), ("words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())])
@@ -196,14 +201,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(w.count, pa.int64()), pa.array([len(x) for x in places], pa.int64()), pa.array([min(x, default=None) for x in places], pa.int64()), pa.array([max(x, default=None) for x in places], pa.int64()),
-                    pa.array([",".join(sorted(x)) for x in base]), pa.array([",".join(sorted(x | {m["label"] for m in f if m["best"]})) for x, f in zip(base, found, strict=True)]),
+                    pa.array([",".join(sorted(x)) for x in base]), *[pa.array([",".join(sorted(x | {m["label"] for m in f if m["best"] or every})) for x, f in zip(base, found, strict=True)]) for every in (True, False)],
                     pa.array([1.0 if x else max((m["containment"] for m in f), default=0.0) for x, f in zip(base, found, strict=True)]), pa.array(found, pa.list_(block_type)),
                 ],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "closest", "score", "blocks"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, blocks array<struct<label: string, first: bigint, words: bigint, containment: double, best: boolean>>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, closest string, score double, blocks array<struct<label: string, first: bigint, words: bigint, containment: double, best: boolean>>")
 
 
 #: Bytes that are not white space.
