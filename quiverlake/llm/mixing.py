@@ -1,7 +1,7 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 Each source's texts stand end to end, in an order given by hashes, and are cut into blocks of ``BLOCK`` words. A target
-of words becomes a number of slots; output shards of equal size draw their slots' sources multinomially from what is
+of words becomes a number of slots; output shards of equal size (``SHARD_SLOTS`` slots at most, ``SHARDS`` of them at least) draw their slots' sources multinomially from what is
 still due, so that the sums come out exactly. The k-th slot of a source is block ``p(k mod n)``, where p is a
 pseudorandom permutation of its n blocks (a Feistel network, walked until inside), another one for each round of n slots.
 Slots and pieces of documents meet by block index. As a target is at most three times its source's size, no block is
@@ -29,7 +29,7 @@ BLOCK = 128
 WEIGHTS = (1.0, 2.0, 3.0)
 #: A target's limit, in sizes of its source.
 MOST = 3
-SHARDS = 64
+SHARDS, SHARD_SLOTS = 64, 1 << 20
 #: Parts of a source in which running sums are made side by side.
 PARTS = 4096
 SEED = 20240607
@@ -48,9 +48,10 @@ def targets(sizes: list[int], weights: list[float]) -> list[float]:
         fixed |= {i: float(MOST * sizes[i]) for i in over}
 
 
-def shard_counts(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
+def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
     """(shard, source) slots: multinomial draws for each shard by what is still due; columns sum to ``slots``."""
     rng, due = np.random.default_rng(seed), np.array(slots, np.int64)
+    shards = max(SHARDS, -(-int(due.sum()) // SHARD_SLOTS))
     out, total = np.zeros((shards, len(slots)), np.int64), int(due.sum())
     for k in range(shards):
         n = total * (k + 1) // shards - total * k // shards
@@ -113,7 +114,7 @@ def slots(spark: SparkSession, sources: list[dict]) -> DataFrame:
     counts = shard_counts([x["slots"] for x in sources])
     first = np.vstack([np.zeros(len(sources), np.int64), np.cumsum(counts, axis=0)])
     rows = [(k, i, int(first[k, i]), int(counts[k, i]), sources[i]["blocks"]) for k in range(len(counts)) for i in range(len(sources)) if counts[k, i]]
-    due = spark.createDataFrame(rows, "shard int, source int, first bigint, n bigint, blocks bigint").repartition(SHARDS, "shard")
+    due = spark.createDataFrame(rows, "shard int, source int, first bigint, n bigint, blocks bigint").repartition(len(counts), "shard")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,12 +133,13 @@ def slots(spark: SparkSession, sources: list[dict]) -> DataFrame:
 
 def taken_pieces(rows: DataFrame, sources: list[dict]) -> DataFrame:
     """(index, start, from, words, times) of every piece of a document in a drawn block; from counts the document's words."""
+    # Both sides grow with the documents: they are merged, never broadcast.
     spark = rows.sparkSession
     names = spark.createDataFrame([((x["source"],), i) for i, x in enumerate(sources)], f"name {rows.schema['src'].dataType.simpleString()}, index int")
     at = rows.where("size > 0").join(F.broadcast(names), rows["src"].eqNullSafe(names["name"])).select("index", "start", "size")
     at = at.select("*", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
     lo, hi = F.greatest(F.col("start"), F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return at.join(slots(spark, sources), ["index", "block"]).select("index", "start", (lo - F.col("start")).alias("from"), (hi - lo).alias("words"), "times")
+    return at.join(slots(spark, sources).hint("merge"), ["index", "block"]).select("index", "start", (lo - F.col("start")).alias("from"), (hi - lo).alias("words"), "times")
 
 
 def source_table(rows: DataFrame, sources: list[dict]) -> DataFrame:
@@ -161,7 +163,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     if pieces is None:
         return docs.limit(0)
     by_doc = pieces.groupBy("index", "start").agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("pieces"))
-    df = rows.where("size > 0").join(by_doc, ["index", "start"]).select("row", "size", "pieces")
+    df = rows.where("size > 0").join(by_doc.hint("merge"), ["index", "start"]).select("row", "size", "pieces")
     df = df.select("row", "size", "pieces", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int"))).alias("copy"))
     df = df.select("row", "size", F.transform(F.filter("pieces", lambda p: p["times"] >= F.col("copy")), lambda p: F.struct(p["from"].alias("a"), (p["from"] + p["words"]).alias("b"))).alias("cuts"))
     text = docs.schema["text"].dataType.simpleString()
@@ -196,5 +198,5 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pieces.groupBy("index", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # Rows without words share a start with the next one and are never taken.
     words = words.withColumn("some", F.lit(True))
-    out = rows.withColumn("some", F.col("size") > 0).join(words, ["index", "start", "some"], "left")
+    out = rows.withColumn("some", F.col("size") > 0).join(words.hint("merge"), ["index", "start", "some"], "left")
     return out.select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
