@@ -37,7 +37,6 @@ SENTENCES, PASSES, STEP, PENALTY = 240, 4, 0.5, 1e-4
 
 # Possessive forms of the patterns: what they skip can't begin a match.
 _HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -53,6 +52,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping e-mail addresses, found from each ``@`` outwards."""
     out, free, at = [], 0, text.find("@")
@@ -73,7 +78,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x) < 400 and int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_octet(x) for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -86,7 +91,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the field ---------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W]+|\S|\s+")
-_TRIGGER = re.compile(r"\S*[0-9@]\S*|\S+\s?[\[(]\s?at\s?[\])]\s?\S+(?:\s?[\[(]?\s?dot\s?[\])]?\s?\S+)*|\S+ at \S+(?: dot \S+)+")
+_WORD, _TRIGGER = re.compile(r"\S+"), re.compile(r"[0-9@]")
 _SPELLED = ("(at)", "[at]", "( at )", " dot ")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[(]\s?at\s?[\])]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])]|\sdot\s)\s?[A-Za-z0-9-]+)+")
 _AT = re.compile(r"\s?[\[(]\s?at\s?[\])]\s?|\sat\s")
@@ -125,7 +130,8 @@ def spelled(text: str) -> Iterator[tuple[int, int]]:
 def regions(text: str) -> Iterator[tuple[int, int]]:
     """Stretches outside which no entity is possible; neighbours within two characters are one."""
     lo = hi = -1
-    for start, end in sorted([*(m.span() for m in _TRIGGER.finditer(text)), *(m.span() for m in _IBAN_PRINTED.finditer(text)), *spelled(text)]):
+    triggers = (m.span() for m in _WORD.finditer(text) if _TRIGGER.search(text, *m.span()))
+    for start, end in sorted([*triggers, *(m.span() for m in _IBAN_PRINTED.finditer(text)), *spelled(text)]):
         if lo >= 0 and start - hi <= 2:
             hi = max(hi, end)
         else:
@@ -146,7 +152,7 @@ def _shape(s: str) -> tuple[tuple[str, str], ...]:
     if ("@" in s or " at " in s or "at" in s and ("(" in s or "[" in s)) and len(s) <= LONGEST:
         add("email", "form" if _MAIL.fullmatch(s) else "other", f"spaces{min(spaces, 5)}")
     if n and not re.search(r"[^0-9.]", s) and s.count(".") == 3:
-        add("ip", "valid" if re.fullmatch(r"\d+(\.\d+){3}", s) and all(int(x) <= 255 for x in s.split(".")) else "other")
+        add("ip", "valid" if re.fullmatch(r"\d+(\.\d+){3}", s) and all(_octet(x) for x in s.split(".")) else "other")
     if n >= 12 and not re.search(r"[^0-9 -]", s):
         add("card", "luhn" if luhn(digits) else "noluhn", "size" if 13 <= n <= 19 else "nosize", "groups" if re.fullmatch(r"\d+|\d{4}([ -]\d{4}){2,3}([ -]\d{1,4})?", s) else "nogroups")
     if 7 <= n <= 15 and not re.search(r"[^0-9 ().+/-]", s):
@@ -338,7 +344,7 @@ def spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[str, int, in
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (string)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (string), n_spans (of all kinds)."""
     weights = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,12 +352,12 @@ def find(docs: DataFrame) -> DataFrame:
         for b in chunks(batches, "text"):
             got = [spans(t or "", weights) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array([sum(x[0] == k for x in base) for base, _ in got], pa.int64()) for k in BASE_KINDS], pa.array([hashlib.sha256(show(base).encode()).hexdigest() for base, _ in got]), pa.array([show(every) for _, every in got])],
-                ["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"],
+                [b.column(0), *[pa.array([sum(x[0] == k for x in base) for base, _ in got], pa.int64()) for k in BASE_KINDS], pa.array([hashlib.sha256(show(base).encode()).hexdigest() for base, _ in got]), pa.array([show(every) for _, every in got]), pa.array([len(every) for _, every in got], pa.int64())],
+                ["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", "n_spans"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")
 
 
 def masked(text: str, found: list[tuple[str, int, int]]) -> str:
