@@ -2,9 +2,10 @@
 
 Unit vectors with a cosine of at least ``COSINE`` are at most ``sqrt(2 - 2 COSINE)`` apart. Vectors are projected on the
 leading principal axes (of the covariance over all vectors) and sorted by group, then grid cells of that side, lexicographically. The sorted
-sequence is cut into blocks with bounding boxes; long intervals of blocks are joined first, then blocks, and pairs
-provably too distant are skipped; two blocks are joined by recursive halving, again skipping distant parts, down to
-small matrix products in double precision.
+sequence is cut into blocks with bounding boxes; long intervals of blocks that share or neighbour a cell of the first axis are
+joined first, then blocks, and pairs provably too distant are skipped. For each pair of near intervals, one's blocks are
+held and the other's stream past them; two blocks are joined by recursive halving, again skipping distant parts, down
+to small matrix products in double precision.
 
 Vectors are compared only with equal labels (and lengths). A vector that is null, of zeros, or holds null, NaN or an
 infinity, or whose label is null, links with nothing. Equal vectors are joined once and counted as often as they occur.
@@ -27,8 +28,8 @@ from .components import components
 COSINE = 0.93
 #: Leading axes; components beyond AXES_FROM aren't used to find axes (distances can only shrink by that).
 AXES, AXES_FROM = 8, 256
-#: Vectors in a block, blocks in an interval, vectors below which parts are multiplied at once.
-BLOCK, INTERVAL, LEAF = 512, 32, 128
+#: Vectors in a block, blocks in an interval (fewer if their vectors would take more bytes), vectors below which parts are multiplied at once.
+BLOCK, INTERVAL, INTERVAL_BYTES, LEAF = 512, 32, 1 << 27, 128
 #: Parts in which a group's intervals are compared.
 SALTS = 8
 
@@ -105,7 +106,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = df.select(F.col(id_col).alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), F.struct(F.col(label_col).alias("label"), vector.alias("v"))).alias("key"))
     nodes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "n", "key"))
-    width = min(AXES_FROM, nodes.agg(F.max(F.size("key.v"))).first()[0] or 1)
+    longest = nodes.agg(F.max(F.size("key.v"))).first()[0] or 1
+    width, interval = min(AXES_FROM, longest), max(1, min(INTERVAL, INTERVAL_BYTES // (8 * BLOCK * longest)))
     basis = axes(nodes.select("key.v"), width)
     limit = 2.0 - 2.0 * cosine
     side, slack = limit**0.5, limit + 1e-9
@@ -130,7 +132,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         def out(t: pa.Table) -> pa.RecordBatch:
             nonlocal number
             p = np.array(t.column("p").to_pylist())
-            one = [pa.array([x]) for x in (number, number // INTERVAL)]
+            one = [pa.array([x]) for x in (number, number // interval)]
             number += 1
             lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in ("node", "n", "p", "v")]
             return pa.RecordBatch.from_arrays([*one, t.column("g").combine_chunks().slice(0, 1), pa.array([p.min(0).tolist()]), pa.array([p.max(0).tolist()]), *lists], names)
@@ -171,55 +173,69 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         gap = F.zip_with(F.zip_with("lo", "hi_", lambda a, b: a - b), F.zip_with("lo_", "hi", lambda a, b: a - b), lambda a, b: F.greatest(F.lit(0.0), a, b))
         return left.join(right, on).where(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= slack)
 
-    # A group's intervals are compared in SALTS parts.
-    other = spans.select("g", F.col("interval").alias("interval_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    far = meeting(spans.withColumn("salt", F.pmod("interval", F.lit(SALTS)).cast("int")), other, ["g", "salt"]).where("interval <= interval_").select("g", "interval", "interval_")
+    # Near intervals' first-axis cells are the same or neighbours; a pair meets in the first that both hold. Compared in SALTS parts.
+    cells_of = lambda name, by: [F.floor(F.get(name, 0) / side).cast("int") + by]
+    reach = lambda by: F.explode(F.sequence(cells_of("lo", -by)[0], cells_of("hi", by)[0])).alias("c")
+    mine = spans.select("g", "interval", "lo", "hi", F.pmod("interval", F.lit(SALTS)).cast("int").alias("salt"), cells_of("lo", -1)[0].alias("first"), reach(1))
+    other = spans.select("g", F.col("interval").alias("interval_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), cells_of("lo", 0)[0].alias("first_"), reach(0))
+    other = other.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    far = meeting(mine, other, ["g", "c", "salt"]).where("interval <= interval_ AND c = greatest(first, first_)").select("g", "interval", "interval_")
     near = box.join(far, ["g", "interval"]).select("g", "interval_", "block", "lo", "hi")
-    near = stored(meeting(near, box.select("g", F.col("interval").alias("interval_"), F.col("block").alias("block_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")), ["g", "interval_"]).where("block <= block_").select("block", "block_", F.expr(f"block div {INTERVAL}").alias("part")))
-    # Each block meets the earlier ones (and itself) part by part: it comes first (turn 0), then they stream past it.
+    near = meeting(near, box.select("g", F.col("interval").alias("interval_"), F.col("block").alias("block_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")), ["g", "interval_"]).where("block <= block_")
+    near = stored(near.select("block", "block_", "interval_", F.expr(f"block div {interval}").alias("part")))
+    # Blocks of one interval are held (turn 0), then the earlier interval's stream past them: each is sent once for a pair of intervals.
     body = table_.select("block", "node", "n", "p", "v")
-    guests = near.join(body, "block").select("block_", "part", F.lit(1).alias("turn"), "block", "node", "n", "p", "v")
-    hosts = near.select("block_", "part").distinct().join(body.withColumnRenamed("block", "block_"), "block_").select("block_", "part", F.lit(0).alias("turn"), F.col("block_").alias("block"), "node", "n", "p", "v")
-    streams = hosts.unionByName(guests).repartition(parts, "block_", "part").sortWithinPartitions("block_", "part", "turn")
+    sent = lambda column, turn: near.select(F.col(column).alias("block"), "interval_", "part").distinct().join(body, "block").select("interval_", "part", F.lit(turn).alias("turn"), "block", "node", "n", "p", "v")
+    streams = sent("block_", 0).unionByName(sent("block", 1)).repartition(parts, "interval_", "part").sortWithinPartitions("interval_", "part", "turn", "block")
+
+    def pair_links(now: tuple, host: tuple) -> Iterator[pa.RecordBatch]:
+        (bx, x, px, nx, cx), (by, y, py, ny, cy) = now, host
+        same = bx == by
+        links_x, links_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        label = np.arange(len(x) + len(y))
+        if same:
+            label[len(x) :] = label[: len(x)]
+        forest = []
+        for a, c, hit in grid_join(x, px, y, py, slack, cosine, same):
+            if same and a == c:
+                np.fill_diagonal(hit, False)
+            links_x[a : a + hit.shape[0]] += hit @ cy[c : c + hit.shape[1]]
+            if not same or a != c:
+                links_y[c : c + hit.shape[1]] += cx[a : a + hit.shape[0]] @ hit
+            for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                at = c + np.flatnonzero(hit[r])
+                other = label[len(x) + at]
+                new = other != label[a + r]
+                if new.any():
+                    for z in np.unique(other[new]).tolist():
+                        forest.append((int(nx[a + r]), int(ny[at[other == z][0]])))
+                        label[label == z] = label[a + r]
+        if same:
+            links_x += links_y
+            links_y[:] = 0
+        some_x, some_y = np.flatnonzero(links_x), np.flatnonzero(links_y)
+        k = len(some_x) + len(some_y)
+        if k:
+            nodes_ = [*nx[some_x].tolist(), *ny[some_y].tolist(), *[e[0] for e in forest]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array([*links_x[some_x].tolist(), *links_y[some_y].tolist(), *[0] * len(forest)], pa.int64()), pa.array([*[None] * k, *[e[1] for e in forest]], pa.int64())], ["node", "links", "other"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host = None
+        key, hosts = None, []
         for b in batches:
             for i in range(b.num_rows):
-                get = lambda c: b.column(b.schema.get_field_index(c))[i].values  # noqa: B023, E731
-                v = get("v")
-                now = (b.column("block")[i].as_py(), _matrix(v, len(v[0])), np.array(get("p").flatten()).reshape(len(v), -1), get("node").to_numpy(), get("n").to_numpy())
-                if b.column("turn")[i].as_py() == 0:
-                    host = now
+                get = lambda c: b.column(b.schema.get_field_index(c))[i]  # noqa: B023, E731
+                v = get("v").values
+                p = get("p").values
+                now = (get("block").as_py(), _matrix(v, len(v[0])), np.array(p.flatten()).reshape(len(v), -1), get("node").values.to_numpy(), get("n").values.to_numpy())
+                if key != (key := (get("interval_").as_py(), get("part").as_py())):
+                    hosts = []
+                if get("turn").as_py() == 0:
+                    hosts.append((now, now[2].min(0), now[2].max(0)))
                     continue
-                (bx, x, px, nx, cx), (by, y, py, ny, cy) = now, host
-                same = bx == by
-                links_x, links_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-                label = np.arange(len(x) + len(y))
-                if same:
-                    label[len(x) :] = label[: len(x)]
-                forest = []
-                for a, c, hit in grid_join(x, px, y, py, slack, cosine, same):
-                    if same and a == c:
-                        np.fill_diagonal(hit, False)
-                    links_x[a : a + hit.shape[0]] += hit @ cy[c : c + hit.shape[1]]
-                    if not same or a != c:
-                        links_y[c : c + hit.shape[1]] += cx[a : a + hit.shape[0]] @ hit
-                    for r in np.flatnonzero(hit.any(axis=1)).tolist():
-                        at = c + np.flatnonzero(hit[r])
-                        other = label[len(x) + at]
-                        new = other != label[a + r]
-                        if new.any():
-                            for z in np.unique(other[new]).tolist():
-                                forest.append((int(nx[a + r]), int(ny[at[other == z][0]])))
-                                label[label == z] = label[a + r]
-                if same:
-                    links_x += links_y
-                    links_y[:] = 0
-                some_x, some_y = np.flatnonzero(links_x), np.flatnonzero(links_y)
-                k = len(some_x) + len(some_y)
-                nodes_ = [*nx[some_x].tolist(), *ny[some_y].tolist(), *[e[0] for e in forest]]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array([*links_x[some_x].tolist(), *links_y[some_y].tolist(), *[0] * len(forest)], pa.int64()), pa.array([*[None] * k, *[e[1] for e in forest]], pa.int64())], ["node", "links", "other"])
+                lo, hi = now[2].min(0), now[2].max(0)
+                for host, low, high in hosts:
+                    if now[0] <= host[0] and _apart(lo, hi, low, high) <= slack:
+                        yield from pair_links(now, host)
 
     found = stored(streams.mapInArrow(linked, "node bigint, links bigint, other bigint"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
