@@ -4,19 +4,30 @@ The kernel compares words (and runs of single letters, joined) by the subsequenc
 they share, each weighted by ``DECAY`` to the power of its gaps, so that gaps and inserted characters cost a little
 only. Landmark words span an approximate feature space (Nyström), in which a linear machine is trained. As spans are
 bounded, the kernel has an explicit map into ``TABLE`` hash buckets, and the trained machine is one table of that size:
-a word's decision is a sum of look-ups. A text's decision is its words' largest; a logistic curve turns it into a score.
-
-Training takes the labelled sentences of at most ``TRAIN_TEXTS`` labelled texts (chosen by a hash of their ids; the
-bound is the parameter ``limit``). A sentence's label is its text's; the words that stand for it are those that the
-labels single out, found in rounds (multiple-instance learning). Scoring covers every word of every text.
-
-Nulls and texts without words get the score of a text without evidence. Repeated rows get the same score. Without
-labelled texts of both kinds all scores are the share of toxic labels (0.1 where none). Other columns are ignored.
+a word's decision is a sum of look-ups. A sentence's decision is its words' largest, a text's its sentences'; a logistic
+curve turns it into a score.
+
+Training takes the labelled sentences of at most ``TRAIN_TEXTS`` labelled texts (chosen by a hash of their ids; the bound is the
+parameter ``limit``). A sentence has its text's label, but is clean if a clean text has it too; each different sentence
+counts once, and of texts that are mostly alike one. It is a multiple-instance machine: of a clean sentence all words are
+clean, of a toxic one some word must stand for it. These witnesses are first the words that are ``LIKELIER`` in toxic sentences, beyond
+what chance explains, then, in rounds, the worst word of each toxic text that none of them explains. The machine is trained on the
+witnesses, weighted by their sentences, against words of clean sentences, and again with those that it took for toxic.
+Two thirds of the texts train it, the others fit the curve. Scoring covers every word of every text.
+
+Bounds of the training sample, besides ``limit``: ``POSITIVES`` witnesses by evidence, ``NEGATIVES`` clean words (the most frequent, then
+by hash) and as many hard ones as a third of that, ``LANDMARKS`` landmarks.
+
+Nulls and texts without words get the score of a text without evidence. Repeated rows get the same score. Ties among words
+go by their letters. Without labelled texts of both kinds all scores are the share of toxic labels (0.1 where none). Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+import re
 import sys
 import zlib
 from collections import Counter
@@ -37,8 +48,10 @@ TABLE = 1 << 20
 #: Characters of a word taken together; longer words are taken in overlapping parts.
 WIDE = 32
 LANDMARKS, NEGATIVES, ROUNDS = 240, 3000, 2
-#: A word stands for toxic texts if this share of them holds it (few do by chance, or as copies); at most so many words.
-SUPPORT, POSITIVES = 0.015, 400
+#: A witness is at least so many times likelier in toxic sentences than in clean ones; at most so many of them.
+LIKELIER, POSITIVES = 4.5, 400
+#: Where sentences end; a longer one is cut after so many words.
+_END, LONGEST = re.compile(r"(?<=[.!?])\s+|\n+"), 64
 #: The machine's cost of an error.
 COST = 2.0
 THRESHOLD = 0.3
@@ -178,7 +191,8 @@ class Model:
 
     def score(self, decision: np.ndarray) -> np.ndarray:
         """From a text's largest decision; minus infinity: no words."""
-        x = np.where(np.isfinite(decision), self.slope * decision + self.place, self.empty)
+        some = np.isfinite(decision)
+        x = np.where(some, self.slope * np.where(some, decision, 0.0) + self.place, self.empty)
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
@@ -187,13 +201,22 @@ def flatly(share: float) -> Model:
     return Model(np.zeros(TABLE + 1), 0.0, 0.0, place, place)
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The units of each sentence that has some."""
+    found = [units(x) for x in _END.split(text)]
+    return [x[i : i + LONGEST] for x in found for i in range(0, len(x), LONGEST)]
+
+
 def different(bags: list[set[str]]) -> list[int]:
-    """Indices of bags that aren't mostly the words of an earlier one: words of a much copied text would look telling."""
-    by_word: dict[int, list[int]] = {}
+    """Indices of bags that aren't mostly the words of an earlier one: words of a much copied text would look telling.
+
+    Bags alike share their rarest words of those that several have; each is compared with the earlier ones that it shares some with."""
+    often = Counter(w for bag in bags for w in bag)
+    by_word: dict[str, list[int]] = {}
     out = []
     for i, bag in enumerate(bags):
-        marks = sorted(zlib.crc32(w.encode()) for w in bag)[:6]
-        near = {j for m in marks for j in by_word.get(m, ())[:50]}
+        marks = sorted((w for w in bag if often[w] > 1), key=lambda w: (often[w], zlib.crc32(w.encode()), w))[:6]
+        near = {j for m in marks for j in by_word.get(m, ())}
         if bag and any(2 * len(bag & bags[j]) > min(len(bag), len(bags[j])) + 0.2 * max(len(bag), len(bags[j])) for j in near):
             continue
         out.append(i)
@@ -202,30 +225,44 @@ def different(bags: list[set[str]]) -> list[int]:
     return out
 
 
+def evidence(bad: int, good: int, share: float) -> float:
+    """Log-likelihood ratio of a word held by so many toxic and clean sentences against chance at the share of toxic ones; 0 if it isn't LIKELIER in toxic ones."""
+    n = bad + good
+    if bad * (1 - share) < LIKELIER * (good + 0.3) * share:
+        return 0.0
+    return 2 * (bad * math.log(bad / (share * n)) + (good * math.log(good / ((1 - share) * n)) if good else 0.0))
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
-    """Landmarks, machine and curve from labelled texts; every third text is kept for the curve."""
+    """Landmarks, machine and curve from labelled texts."""
     y = np.array(toxic)
     if not len(y):
         return flatly(0.1)
     share = float(np.clip(y.mean(), 0.01, 0.99))
-    bags = [set(map(sys.intern, units(t))) for t in texts]
+    parts = [[set(map(sys.intern, x)) for x in sentences(t)] for t in texts]
+    bags = [set().union(*x) if x else set() for x in parts]
     alone = different(bags)
-    bags, y = [bags[i] for i in alone], y[alone]
-    learn = [i for i in range(len(bags)) if i % 3 or len(bags) < 60]
-    bad, good = Counter(), Counter()
+    bags, parts, y = [bags[i] for i in alone], [parts[i] for i in alone], y[alone]
+    learn = [i for i in range(len(bags)) if i % 3]
+    labelled: dict[frozenset, int] = {}
     for i in learn:
-        (bad if y[i] else good).update(bags[i])
-    n_bad, n_good = sum(y[i] for i in learn), sum(1 - y[i] for i in learn)
-    if not n_bad or not n_good:
+        for x in map(frozenset, parts[i]):
+            labelled[x] = min(labelled.get(x, 1), int(y[i]))
+    bad, good = Counter(), Counter()
+    for x in sorted(labelled, key=sorted):
+        (bad if labelled[x] else good).update(x)
+    n_bad = sum(labelled.values())
+    if not n_bad or n_bad == len(labelled):
         return flatly(share)
     clean = sorted(good, key=lambda w: (hash_word(w), w))
     usual = sorted(clean, key=lambda w: -good[w])[: NEGATIVES // 3]
     clean = list(dict.fromkeys([*usual, *clean]))[:NEGATIVES]
-    # Words that are likelier in toxic texts than their number of chances explains.
-    odds = {w: np.log((bad[w] + 0.3) / (n_bad + 1)) - np.log((good[w] + 0.3) / (n_good + 1)) for w in bad}
-    least = max(3, int(np.ceil(SUPPORT * n_bad)))
-    chosen = sorted((w for w in bad if bad[w] >= least and odds[w] > 1.5), key=lambda w: (-odds[w] * np.log1p(bad[w]), w))[:POSITIVES]
-    chosen = chosen or sorted((w for w in bad if odds[w] > 1.0), key=lambda w: (-odds[w] * bad[w], w))[:20]
+    # Evidence beyond what the best of so many words would have by chance.
+    told = {w: evidence(bad[w], good[w], n_bad / len(labelled)) for w in bad}
+    ranked = sorted((w for w in told if told[w] > 0), key=lambda w: (-told[w], w))
+    chosen = [w for w in ranked if told[w] > 2 * math.log(len(bad) + len(good))][:POSITIVES] or ranked[:20]
+    if not chosen:
+        return flatly(share)
     rng = np.random.default_rng(seed)
     model, worst = None, []
     for turn in range(ROUNDS + 1):
