@@ -2,7 +2,7 @@
 
 A change works on one level at a time. Clusters that split give their parent the centroids of their parts; the parent marks the
 old entry outdated and takes the new ones like any batch, so that it may be compacted or split in turn. A root that splits
-gets a new root above it. Each level is written before the next is looked at.
+gets a new root above it. What moves at a level is written before the next level is looked at.
 """
 
 from __future__ import annotations
@@ -52,18 +52,24 @@ def policy(sizes: DataFrame, cap: int, least: int, split: int) -> DataFrame:
     return sizes.withColumn("action", action).withColumn("parts", F.when(action == "split", parts).otherwise(1))
 
 
-def insert_level(index: Index, level: int, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The level's members after the batch (cluster_id, child_id, vec), and the parts (old, cluster_id, vec) of clusters that split."""
+def insert_level(index: Index, level: int, batch: DataFrame, outdated: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The level's members after the batch (cluster_id, child_id, vec), and the parts (old, cluster_id, vec) of clusters that split,
+    if any. Entries of ``outdated`` (child_id) are marked before."""
     a = index.attributes
     cap, least = (a.leaf_max, a.leaf_min) if level == 1 else (a.internal_max, a.internal_min)
     old = index.members.where(F.col("level") == level)
+    if outdated is not None:
+        old = old.join(outdated.withColumn("gone", F.lit(True)), "child_id", "left").withColumn("state", F.when(F.col("gone") & (F.col("state") == VALID), OUTDATED).otherwise(F.col("state"))).select(*index.members.columns)
     sizes = old.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("reserved"), F.count_if(F.col("state") == VALID).alias("live"), F.max("entry_offset").alias("last"))
     sizes = sizes.join(batch.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("batch")), "cluster_id", "full")
     sizes = sizes.select("cluster_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reserved", "live", "batch")], F.coalesce("last", F.lit(-1)).alias("last"))
     sizes = saved(policy(sizes, cap, least, a.split))
-    first = (old.agg(F.max("cluster_id")).first()[0] or 0) + 1
-    new_ids = running(sizes.where("action = 'split'").withColumn("more", F.col("parts") - 1), "cluster_id", "more").select("cluster_id", (F.col("before") + first).alias("first_new"))
-    sizes = sizes.join(new_ids, "cluster_id", "left")
+    largest, splits = sizes.agg(F.max("cluster_id"), F.count_if(F.col("action") == "split")).first()
+    if splits:
+        new_ids = running(sizes.where("action = 'split'").withColumn("more", F.col("parts") - 1), "cluster_id", "more").select("cluster_id", (F.col("before") + largest + 1).alias("first_new"))
+        sizes = sizes.join(new_ids, "cluster_id", "left")
+    else:
+        sizes = sizes.withColumn("first_new", F.lit(None).cast("long"))
     rows = old.join(sizes, "cluster_id")
     stay = rows.where("action IN ('none', 'append')").select(*index.members.columns)
     moving = rows.where((F.col("state") == VALID) & F.col("action").isin("compact", "split")).select("cluster_id", F.lit(0).alias("late"), "entry_offset", "child_id", "vec")
@@ -73,33 +79,33 @@ def insert_level(index: Index, level: int, batch: DataFrame) -> tuple[DataFrame,
     offset = F.when(F.col("action") == "append", F.col("last") + 1 + F.col("place")).otherwise(F.floor(F.col("place") / F.col("parts")))
     moving = moving.select("action", F.col("cluster_id").alias("old"), F.when(F.col("part") == 0, F.col("cluster_id")).otherwise(F.col("first_new") + F.col("part") - 1).alias("cluster_id"), offset.cast("int").alias("entry_offset"), "child_id", "vec")
     moving = saved(moving)
-    parts = centroids(moving.where("action = 'split'"), ["old", "cluster_id"], integer=a.metric == "l2_int").select("old", "cluster_id", "vec")
     arrived = moving.select(F.lit(level).alias("level"), "cluster_id", "entry_offset", "child_id", F.lit(VALID).alias("state"), "vec")
+    parts = centroids(moving.where("action = 'split'"), ["old", "cluster_id"], integer=a.metric == "l2_int").select("old", "cluster_id", "vec") if splits else None
     return stay.unionByName(arrived), parts
 
 
 def insert_entries(index: Index, batch: DataFrame, level: int = 1) -> Index:
     """The index with the batch (cluster_id, child_id, vec) at ``level``, within all limits."""
-    height, members = index.height, index.members
+    first, height, outdated, found = level, index.height, None, []
     while True:
-        now, parts = insert_level(replace(index, members=members, height=height), level, batch)
-        members = saved(members.where(F.col("level") != level).unionByName(now))
-        parts = saved(parts)
-        if parts.isEmpty():
-            return ix.changed(index, members=members, height=height)
+        now, parts = insert_level(index, level, batch, outdated)
+        found.append(now)
+        if parts is None:
+            break
         if level == MAX_LEVELS:
             raise ValueError("too many levels")
         level += 1
-        if level > height:  # the root has split: a new one above it
-            height = level
+        if level > index.height:  # the root has split: a new one above it
+            height, outdated = level, None
             batch = parts.select(F.lit(0).cast("long").alias("cluster_id"), F.col("cluster_id").alias("child_id"), "vec")
             continue
-        entry = (F.col("level") == level) & (F.col("state") == VALID)
-        parents = members.where(entry).select(F.col("child_id").alias("old"), F.col("cluster_id").alias("parent"))
-        batch = saved(parts.join(parents, "old").select(F.col("parent").alias("cluster_id"), F.col("cluster_id").alias("child_id"), "vec"))
-        gone = parts.select(F.col("old").alias("child_id"), F.lit(level).alias("level"), F.lit(True).alias("gone")).distinct()
-        marked = members.join(gone, ["child_id", "level"], "left").withColumn("state", F.when(F.col("gone") & (F.col("state") == VALID), OUTDATED).otherwise(F.col("state")))
-        members = saved(marked.select(*members.columns))
+        parents = index.members.where((F.col("level") == level) & (F.col("state") == VALID)).select(F.col("child_id").alias("old"), F.col("cluster_id").alias("parent"))
+        batch = parts.join(parents, "old").select(F.col("parent").alias("cluster_id"), F.col("cluster_id").alias("child_id"), "vec")
+        outdated = parts.select(F.col("old").alias("child_id")).distinct()
+    members = index.members.where((F.col("level") < first) | (F.col("level") > level))
+    for rows in found:
+        members = members.unionByName(rows)
+    return ix.changed(index, members=saved(members), height=height)
 
 
 def insert(index: Index, vectors: DataFrame, span: int) -> Index:

@@ -59,18 +59,25 @@ def read_vectors(spark: SparkSession, path: str, kind: str, dimension: int | Non
 
 
 def write_vectors(vectors: DataFrame, path: str, kind: str) -> None:
-    """One file from (id, vec), ordered by id. Rows come to the driver partition by partition, as the format is one stream."""
+    """One file from (id, vec), ordered by id. The rows are encoded side by side; the driver only passes on their bytes, range
+    by range, as the format is one stream."""
     dtype, _ = _kind(kind)
     shape = vectors.agg(F.count(F.lit(1)), F.min(F.size("vec")), F.max(F.size("vec"))).first()
     if shape[1] != shape[2]:
         raise ValueError("vectors differ in length")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(dtype).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["bytes"])
+
     spark = vectors.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
     try:
         out.write(bytearray(np.array([shape[0], shape[1] or 0], "<u4").tobytes()))
-        for row in vectors.orderBy("id").select("vec").toLocalIterator(prefetchPartitions=True):
-            out.write(bytearray(np.array(row[0], dtype).tobytes()))
+        for row in vectors.orderBy("id").select("vec").mapInArrow(encode, "bytes binary").toLocalIterator(prefetchPartitions=True):
+            out.write(bytearray(row[0]))
     finally:
         out.close()
 
