@@ -32,6 +32,12 @@ def more_similar(to_a: Column, to_b: Column) -> Column:
     return F.signum(to_b - to_a).cast("int")
 
 
+def comparator(name: str):
+    """``more_similar`` for a metric's distances, by its name: smaller ones are more similar in every metric that there is."""
+    metric(name)
+    return more_similar
+
+
 def quantised(vector: Column | str) -> Column:
     """Components in [-1, 1] as integers 0 to 255."""
     v = F.col(vector) if isinstance(vector, str) else vector

@@ -1,7 +1,7 @@
 """Queries over the driver's tables, and the same in SQL.
 
 Vectors are ``embeddings`` with components as integers 0 to 255: distances are exact whatever the order of summing.
-Queries are the vectors with ``vec_id % 100 = 0``; deleted ones are where ``vec_id % 7 = 3``. Two trees are built, once for each
+Queries are the vectors with ``vec_id % 100 = 0``; deleted ones are where ``vec_id % 7 = 3``; those that arrive late where ``vec_id % 5 = 4``. Two trees are built, once for each
 table, and kept as snapshots in the shared folder: one with LEAVES leaves and INNER nodes above, round robin by id; and one
 whose clusters hold vectors nearest to a pivot, with FILL vectors in a leaf on average. The latter is for searches: it looks
 into SHARE of the leaves, as these vectors have hardly any structure and fewer leaves find fewer than nine of ten neighbours.
@@ -104,12 +104,12 @@ def file_round_trip(v: DataFrame) -> DataFrame:
 
 def old_tree(v: DataFrame, leaves: int = LEAVES) -> ix.Index:
     """Of the vectors that are there before the others arrive."""
-    return kept(v, f"old-{leaves}", lambda: ix.build(v.where("id < 400"), ATTRIBUTES, leaves))
+    return kept(v, f"old-{leaves}", lambda: ix.build(v.where("id % 5 <> 4"), ATTRIBUTES, leaves))
 
 
 def grown(v: DataFrame) -> ix.Index:
     """The later vectors inserted into full leaves: some split."""
-    return growth.insert(old_tree(v, 14), v.where("id >= 400"), 2)
+    return growth.insert(old_tree(v, 14), v.where("id % 5 = 4"), 2)
 
 
 def split_all(v: DataFrame) -> ix.Index:
@@ -131,10 +131,10 @@ def worked(v: DataFrame) -> DataFrame:
 
 def mutated(v: DataFrame) -> DataFrame:
     """Live vectors after one batch of a mutation stream: later ids arrive, some earlier ones go; the last operation counts."""
-    old, new = v.where("id < 400"), v.where("id >= 400").select("id", "vec")
+    old, new = v.where("id % 5 <> 4"), v.where("id % 5 = 4").select("id", "vec")
     gone = old.where("id % 7 = 3").select(F.lit(2).cast("bigint").alias("seq"), F.lit("delete").alias("op"), F.col("id").alias("vec_id"), "vec")
     first = new.unionByName(old.where("id % 7 = 3").select("id", "vec")).select(F.lit(1).cast("bigint").alias("seq"), F.lit("insert").alias("op"), F.col("id").alias("vec_id"), "vec")
-    return mutations.apply(old_tree(v), first.unionByName(gone), 2).members.where("level = 1 AND state = 1").select(F.col("child_id").alias("vec_id"))
+    return mutations.apply(old_tree(v), first.unionByName(gone), 2).members.where("level = 1 AND state = 1").select(F.col("child_id").alias("vec_id"), F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -151,11 +151,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "centroid_all": _q(lambda v: centroids(v, []).select(F.posexplode("vec").alias("i", "m"))),
         "centroid_valid_only": _q(lambda v: centroids(v.where("id % 7 <> 3"), []).select(F.posexplode("vec").alias("i", "m"))),
         "centroid_per_cluster": _q(lambda v: centroids(v, ["label"]).select("label", "n", F.posexplode("vec").alias("i", "m"))),
+        "centroid_with_extra": _q(lambda v: ix.cluster_centroids(ix.delete(t := tree(v), v.where("id % 32 = 5 OR id % 7 = 3").select(F.col("id").alias("vec_id"))), 1, v.where("id % 50 = 0").select((F.col("id") % LEAVES).alias("cluster_id"), "vec")).select("cluster_id", "n", F.posexplode_outer("vec").alias("i", "m"))),
         "topk_merge_dedup": _q(lambda v: topk.merge(*_partial_lists(v), K).select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")),
         "leaf_scan_topk": _q(lambda v: ix.exact_knn(ix.assigned(v, LEAVES).where("cluster_id = 3 AND id % 7 <> 3"), queries_of(v), K)),
         "internal_scan_latest_version": _q(lambda v: ix.latest_versions(v.select((F.col("id") % 50).alias("child_id"), F.expr("cast(id div 50 as int)").alias("version"), F.when(F.col("id") % 7 == 3, 0).when(F.col("id") % 5 == 1, 3).otherwise(1).alias("state"), "vec")).select("child_id", "version", "state")),
-        "insert_target_leaf": _q(lambda v: ix.insert_targets(old_tree(v), v.where("id >= 400"), 2)),
-        "insert_batch": _q(lambda v: ix.append(old_tree(v), v.where("id >= 400"), 2).members.where("level = 1").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.max("entry_offset").alias("last"), F.sum("child_id").alias("ids"))),
+        "insert_target_leaf": _q(lambda v: ix.insert_targets(old_tree(v), v.where("id % 5 = 4"), 2)),
+        "insert_batch": _q(lambda v: ix.append(old_tree(v), v.where("id % 5 = 4"), 2).members.where("level = 1").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.max("entry_offset").alias("last"), F.sum("child_id").alias("ids"))),
         "delete_batch": _q(lambda v: live(v).members.where("level = 1 AND state = 1").select(F.col("child_id").alias("vec_id"), F.col("cluster_id").alias("leaf_id"))),
         "delete_not_found": _q(lambda v: ix.not_found(live(v), v.select((F.col("id") * 2).alias("vec_id")))),
         "compact_cluster": _q(lambda v: ix.compact(live(v)).members.where("level = 1").select("cluster_id", "entry_offset", F.col("child_id").alias("vec_id"))),
@@ -188,7 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prune_decision": _q(lambda v: ix.prune_decisions(thinned(v))),
         "co_visited_pairs": _q(lambda v: ix.co_visited(tree(v), queries_of(v), 2, 4)),
         "index_size": _q(lambda v: ix.size(live(v))),
-        "tree_height": _q(lambda v: v.sparkSession.createDataFrame([(tree(v).height + 1,)], "height int")),
+        "tree_height": _q(lambda v: tree(v).members.agg((F.max("level") + 1).cast("int").alias("height"))),
         "vector_location": _q(lambda v: ix.locations(live(v), v.where("id % 10 = 0").select(F.col("id").alias("vec_id")))),
         "cluster_stats": _q(lambda v: ix.cluster_sizes(live(v)).where("level = 1").select("cluster_id", "reserved", "live", "dead", F.expr("100 * dead div reserved").alias("dead_percent"))),
         "maintenance_stats": _q(lambda v: ix.prune_decisions(thinned(v)).groupBy("action").agg(F.count(F.lit(1)).alias("n"))),
@@ -254,9 +255,9 @@ def oracle_sql() -> dict[str, str]:
     moves = f"moves AS (SELECT child_id, source, target FROM (SELECT e.child_id, e.cluster_id AS source, o.child_id AS target, row_number() OVER (PARTITION BY e.child_id ORDER BY {_D.format('e.vec', 'o.vec')}, o.child_id) AS r FROM l1 e JOIN l2 c ON c.child_id = e.cluster_id JOIN l2 o ON abs(o.child_id - e.cluster_id) = 1 WHERE {_D.format('e.vec', 'o.vec')} < {_D.format('e.vec', 'c.vec')}) WHERE r = 1)"
     small = f"small AS {mean.format(by='cluster_id,', rows=f'(SELECT p.cluster_id, p.vec FROM placed p JOIN decided d USING (cluster_id) WHERE d.action = $$merge$$ AND NOT ({gone}))', group='GROUP BY cluster_id')}, merges AS (SELECT cluster_id, target FROM (SELECT s.cluster_id, o.child_id AS target, row_number() OVER (PARTITION BY s.cluster_id ORDER BY {_D.format('s.vec', 'o.vec')}, o.child_id) AS r FROM small s JOIN l2 m ON m.child_id = s.cluster_id JOIN l2 o ON o.cluster_id = m.cluster_id AND o.child_id <> s.cluster_id) WHERE r = 1)"
     thinned_ = f"{with_tree}, {leaf}, {thin}, {decision}"
-    old = f"WITH {_V}, w AS (SELECT * FROM v WHERE id < 400), {_tree('w')}, {_beam(2, 1, 'SELECT id AS qid, vec AS q FROM v WHERE id >= 400')}"
+    old = f"WITH {_V}, w AS (SELECT * FROM v WHERE id % 5 <> 4), {_tree('w')}, {_beam(2, 1, 'SELECT id AS qid, vec AS q FROM v WHERE id % 5 = 4')}"
     split = f"WITH {_V}, e AS (SELECT id, place % 8 AS cluster_id, place // 8 AS o FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM v)), sized AS (SELECT cluster_id, CASE WHEN count(*) > 32 THEN greatest(2, CASE WHEN count(*) // 2 < 4 THEN ceil(count(*) / 4) ELSE 2 END, ceil(count(*) / 32)) ELSE 1 END::BIGINT AS parts FROM e GROUP BY cluster_id), counted AS (SELECT *, coalesce(sum(parts - 1) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized), cut AS (SELECT id, cluster_id, o, parts, before, o % parts AS part FROM e JOIN counted USING (cluster_id))"
-    grow = f"WITH {_V}, w AS (SELECT * FROM v WHERE id < 400), {_tree('w', 14)}, {_beam(2, 1, 'SELECT id AS qid, vec AS q FROM v WHERE id >= 400')}, entries AS (SELECT child_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY late, child_id) - 1 AS place FROM (SELECT child_id, cluster_id, 0 AS late FROM l1 UNION ALL SELECT qid, node, 1 FROM f2)), n AS (SELECT cluster_id, count(*) AS n FROM entries GROUP BY cluster_id), acted AS (SELECT *, CASE WHEN action = 'split' THEN greatest(2, CASE WHEN n // 2 < 4 THEN ceil(n / 4) ELSE 2 END, ceil(n / 32)) ELSE 1 END::BIGINT AS parts FROM (SELECT n.*, CASE WHEN n < 32 OR cluster_id NOT IN (SELECT node FROM f2) THEN 'append' ELSE 'split' END AS action FROM n)), acted_ AS (SELECT 1)"
+    grow = f"WITH {_V}, w AS (SELECT * FROM v WHERE id % 5 <> 4), {_tree('w', 14)}, {_beam(2, 1, 'SELECT id AS qid, vec AS q FROM v WHERE id % 5 = 4')}, entries AS (SELECT child_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY late, child_id) - 1 AS place FROM (SELECT child_id, cluster_id, 0 AS late FROM l1 UNION ALL SELECT qid, node, 1 FROM f2)), n AS (SELECT cluster_id, count(*) AS n FROM entries GROUP BY cluster_id), acted AS (SELECT *, CASE WHEN action = 'split' THEN greatest(2, CASE WHEN n // 2 < 4 THEN ceil(n / 4) ELSE 2 END, ceil(n / 32)) ELSE 1 END::BIGINT AS parts FROM (SELECT n.*, CASE WHEN n < 32 OR cluster_id NOT IN (SELECT node FROM f2) THEN 'append' ELSE 'split' END AS action FROM n)), acted_ AS (SELECT 1)"
     grow = grow.replace("acted AS (SELECT *, CASE", "acted0 AS (SELECT *, CASE").replace("acted_ AS (SELECT 1)", "acted AS (SELECT *, coalesce(sum(parts - 1) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM acted0)")
     steps = "steps AS (SELECT * FROM merges WHERE target NOT IN (SELECT cluster_id FROM merges))"
     limits = f"{with_tree}, {leaf}, moves AS (SELECT child_id, source, target FROM (SELECT e.child_id, e.cluster_id AS source, o.child_id AS target, row_number() OVER (PARTITION BY e.child_id ORDER BY {_D.format('e.vec', 'o.vec')}, o.child_id) AS r FROM l1 e JOIN l2 c ON c.child_id = e.cluster_id JOIN l2 o ON abs(o.child_id - e.cluster_id) = 1 WHERE e.child_id % 7 <> 3 AND {_D.format('e.vec', 'o.vec')} < {_D.format('e.vec', 'c.vec')}) WHERE r = 1), s AS (SELECT cluster_id AS target, count(*) AS reserved, count(*) FILTER (id % 7 <> 3) AS live FROM placed GROUP BY cluster_id), t AS (SELECT target, count(*) AS batch, max(source) AS last_source FROM moves GROUP BY target), m2 AS (SELECT m.*, reserved + batch < 32 OR (last_source < s.target AND reserved > live AND (live + batch) * 1.15 <= 32) AS accepted FROM moves m JOIN s USING (target) JOIN t USING (target))"
@@ -268,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "exact_knn": f"WITH {_V}, {_exact('v')} SELECT * FROM exact",
         "vec_file_roundtrip": f"WITH {_V} SELECT row_number() OVER (ORDER BY id) - 1 AS id, list_sum(vec)::BIGINT AS total, vec[1]::INT AS head FROM v",
-        "mutation_batch": "SELECT vec_id FROM embeddings WHERE vec_id >= 400 OR vec_id % 7 <> 3",
+        "mutation_batch": f"WITH {_V} SELECT id AS vec_id, list_sum(vec)::BIGINT AS total FROM v WHERE id % 5 = 4 OR id % 7 <> 3",
         "ann_search": f"{ann} SELECT * FROM found",
         "ann_search_round_robin": f"{with_tree}, {_beam(2, 4)}, {_FOUND} SELECT * FROM found",
         "ann_search_past_empty": past_empty,
@@ -279,6 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "centroid_all": f"WITH {_V} " + means.format(by="", n="", where=""),
         "centroid_valid_only": f"WITH {_V} " + means.format(by="", n="", where="WHERE id % 7 <> 3"),
         "centroid_per_cluster": f"WITH {_V} " + means.format(by="label,", n=", count(*) AS n", where=""),
+        "centroid_with_extra": f"WITH {_V}, {leaf}, r AS (SELECT cluster_id, vec FROM placed WHERE NOT (id % 32 = 5 OR id % 7 = 3) UNION ALL SELECT id % {LEAVES}, vec FROM v WHERE id % 50 = 0), m AS (SELECT cluster_id, i::INT AS i, (sum(x) // count(*))::INT AS m, count(*) AS n FROM (SELECT cluster_id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM r) GROUP BY cluster_id, i) SELECT c.cluster_id, coalesce(n, 0) AS n, i, m FROM (SELECT DISTINCT cluster_id FROM placed) c LEFT JOIN m USING (cluster_id)",
         "topk_merge_dedup": f"WITH {_V}, {_exact('v')} SELECT * FROM exact",
         "leaf_scan_topk": f"WITH {_V}, {leaf}, {_exact('(SELECT * FROM placed WHERE cluster_id = 3 AND id % 7 <> 3)')} SELECT * FROM exact",
         "internal_scan_latest_version": f"WITH {_V}, e AS (SELECT id % 50 AS child_id, (id // 50)::INT AS version, (CASE WHEN id % 7 = 3 THEN 0 WHEN id % 5 = 1 THEN 3 ELSE 1 END)::INT AS state FROM v) SELECT child_id, max(version) AS version, arg_max(state, version) AS state FROM e WHERE state <> 0 GROUP BY child_id",
@@ -316,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "prune_decision": f"WITH {_V}, {leaf}, {thin}, {decision} SELECT * FROM decided",
         "co_visited_pairs": f"{with_tree}, {_beam(2, 4)} SELECT x.node AS a, y.node AS b, count(*) AS queries FROM f2 x JOIN f2 y ON x.qid = y.qid AND x.node < y.node GROUP BY x.node, y.node",
         "index_size": "SELECT count(*) AS n FROM embeddings WHERE vec_id % 7 <> 3",
-        "tree_height": "SELECT 4::INT AS height",
+        "tree_height": f"WITH RECURSIVE h AS (SELECT {LEAVES} AS parts, 1 AS level UNION ALL SELECT ceil(parts / {ATTRIBUTES.internal_max})::INT, level + 1 FROM h WHERE parts > 1) SELECT (max(level) + 1)::INT AS height FROM h",
         "vector_location": f"WITH {_V}, {leaf} SELECT id AS vec_id, cluster_id AS leaf_id, entry_offset FROM placed WHERE id % 7 <> 3 AND id % 10 = 0",
         "cluster_stats": f"WITH {_V}, {leaf} SELECT cluster_id, count(*) AS reserved, count(*) FILTER (id % 7 <> 3) AS live, count(*) FILTER (id % 7 = 3) AS dead, 100 * count(*) FILTER (id % 7 = 3) // count(*) AS dead_percent FROM placed GROUP BY cluster_id",
         "maintenance_stats": f"WITH {_V}, {leaf}, {thin}, {decision} SELECT action, count(*) AS n FROM decided GROUP BY action",

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quiverlake.functions.metrics import comparator
 from quiverlake.operators import growth, workload
 from quiverlake.operators import index as ix
 from quiverlake.sources.config import parse_settings
+from quiverlake.sources.snapshot import latest, publish, versions
 
 SMALL = ix.Attributes(dimension=4, leaf_max=8, leaf_min=2, internal_max=4, internal_min=1)
 
@@ -126,6 +128,22 @@ def test_settings():
             parse_settings({k: v for k, v in SETTINGS.items() if k != key}, 64)
 
 
+def test_published_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    with pytest.raises(FileNotFoundError):
+        latest(spark, path)
+    one = ix.build(ramp(spark), SMALL, 6)
+    publish(one, path)
+    two = ix.delete(one, spark.createDataFrame([(3,)], "vec_id bigint"))
+    publish(two, path, expected=one.version)
+    assert versions(spark, path) == [0, 1] and ix.size(latest(spark, path)).first()["n"] == 31
+    for stale, expected in ((one, None), (ix.compact(two), one.version)):
+        with pytest.raises(ix.StaleIndex):
+            publish(stale, path, expected)
+    with pytest.raises(ValueError):
+        comparator("cosine")
+
+
 def test_random_clusters(spark):
     index = ix.build(ramp(spark), SMALL, 6)
     some = [r.cluster_id for r in growth.random_clusters(index, 1, 3, 4, (2,)).collect()]
