@@ -76,9 +76,8 @@ def release(spark: SparkSession) -> None:
 
 
 def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _written:
-        with contextlib.suppress(Exception):  # Spark may have gone before
+    with contextlib.suppress(Exception):  # Spark may have gone before
+        if _written and (spark := SparkSession.getActiveSession()) is not None:
             release(spark)
 
 

@@ -2,7 +2,8 @@
 
 Each step links nodes to the smallest one that they see; all work is joins and minima that combine before the shuffle,
 and every round is a table in the shared folder. Ends when a round changes nothing: every component is then a star
-around its smallest node.
+around its smallest node; nodes only ever move to smaller ones, so it does end, after about as many rounds as the longest
+path's logarithm.
 """
 
 from __future__ import annotations
@@ -12,16 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
-#: Rounds grow with the logarithm of the longest path; this is far beyond any.
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with a link to another: root is the component's smallest node. Nulls and loops are no links."""
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     e = stored(e.distinct())
     seen = _state(e)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -36,7 +34,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         seen = now
-    raise RuntimeError(f"components: no end after {MAX_ROUNDS} rounds")
 
 
 def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
