@@ -90,6 +90,43 @@ def test_op2(spark, texts):
         assert r.base_failed == failed and not (failed and r.kept), i
 
 
+def test_op2_verdict(spark, texts):
+    """``kept`` against votes and expectation-maximisation in plain Python."""
+    share, start = 0.001, {True: {1: 0.70, 0: 0.02, -1: 0.28}, False: {1: 0.40, 0: 0.30, -1: 0.30}}
+
+    def votes(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, lines = len(w), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = list(zip(w, w[1:], w[2:], strict=False))
+        often = Counter(windows)
+        covered = len({j + k for j, x in enumerate(windows) if often[x] > 1 for k in range(3)})
+        symbols, chars, dup = len(re.findall(r"[#*$%&|<>]", t)), sum(map(len, w)), len(lines) - len(set(lines))
+        upper, lower, marks = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t)), len(re.findall(r"[!?]{2}|[{}\[\]=;]", t))
+        ends, plain = sum(x[-1] in ".!?" for x in w), sum(bool(re.fullmatch(r"[^\W\d_]+[.,;:?!]?", x)) for x in w)
+        pairs = [
+            (n < 20, n >= 100), (10 * symbols > n, 50 * symbols <= n), (chars > 10 * n or chars < 3 * n, chars <= 7 * n and 2 * chars >= 7 * n),
+            (4 * dup > len(lines), dup == 0 and len(lines) >= 2), (4 * covered > n, 20 * covered <= n), (upper > lower, 8 * upper <= lower),
+            (10 * marks > n, 50 * marks <= n), (100 * ends < n or 3 * ends > n, 50 * ends >= n and 4 * ends <= n), (10 * plain < 6 * n, 10 * plain >= 9 * n),
+        ]
+        return n < 50 or 100 * covered > 50 * n, tuple(0 if bad else 1 if good else -1 for bad, good in pairs)
+
+    seen = {i: votes(t) for i, (t, _) in texts.items()}
+    patterns = Counter(v for failed, v in seen.values() if not failed)
+    total, balance, rules = sum(patterns.values()), 0.5, range(9)
+    shares = {(r, c): dict(start[c]) for r in rules for c in (True, False)}
+    good = lambda v: 1 / (1 + (1 - balance) / balance * np.prod([shares[r, False][x] / shares[r, True][x] for r, x in enumerate(v)]))
+    for _ in range(100):
+        p = {v: good(v) for v in patterns}
+        new = {(r, c): {x: share * total * start[c][x] + sum(n * (p[v] if c else 1 - p[v]) for v, n in patterns.items() if v[r] == x) for x in (1, 0, -1)} for r, c in shares}
+        shares = {k: {x: y / sum(z.values()) for x, y in z.items()} for k, z in new.items()}
+        balance = (sum(n * p[v] for v, n in patterns.items()) + share * total / 2) / (total * (1 + share))
+    got = result(spark, "op2_quality_rules")
+    for i, (failed, v) in seen.items():
+        assert got[i].kept == (not failed and good(v) >= 0.5), (i, v, good(v))
+        assert got[i].quality == pytest.approx(good(v), abs=1e-6), i
+    assert any(not failed and not got[i].kept for i, (failed, _) in seen.items())
+
+
 def test_op3(spark, texts):
     got = result(spark, "op3_license_scan")
     assert got.keys() == texts.keys()
@@ -104,6 +141,15 @@ def test_op3(spark, texts):
         assert found == sorted(set(found)) and labels <= set(found) and 0 <= r.score <= 1, i
 
 
+def test_op4(spark):
+    """Here an article element holds each text, which is some document's, under a headline of its first words."""
+    words = lambda x: " ".join((x or "").split())
+    known = {words(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()}
+    got = result(spark, "op4_html_extraction", "page_id")
+    assert got and sum(words(r.text) in known or words(r.text.partition("\n")[2]) in known for r in got.values()) >= 0.95 * len(got)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_op5(spark, texts):
     got, again = result(spark, "op5_source_mixing"), result(spark, "op5_source_mixing")
     assert got.keys() == texts.keys() and got == again

@@ -37,6 +37,21 @@ def test_quality(docs, empty):
     assert quality.keep_good(empty).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def test_label_model():
+    """A rule that errs is outvoted, one that is right with others is believed, and the numbers follow the votes."""
+    names = ["a", "b", "c", "d"]
+    votes = [((1, 1, 1, 1), 800), ((0, 0, 0, -1), 150), ((1, 1, 1, 0), 60), ((0, 0, -1, 0), 5), ((0, 1, 1, 1), 3), ((-1, -1, -1, -1), 4)]
+    m = quality.estimate(names, votes)
+    assert m.probability((1, 1, 1, 0)) > 0.5 > m.probability((0, 0, 0, -1))  # kept despite a bad vote of d
+    assert m.probability((0, 1, 1, 1)) > 0.5 > m.probability((0, 0, -1, 0))
+    other = quality.estimate(names, [((1, 1, 1, 1), 800), ((1, 1, -1, 0), 150), ((-1, -1, -1, 0), 60), ((1, 1, 1, 0), 1)])
+    assert other.probability((1, 1, -1, 0)) < 0.5  # the same rule is believed where others' silence goes with it
+    assert 0.75 < m.balance < 0.9 and all(abs(sum(x.values()) - 1) < 1e-9 for r in m.shares.values() for x in r.values())
+    bigger = quality.estimate(names, [(v, 1000 * n) for v, n in votes])
+    assert all(bigger.weights[r][v] == pytest.approx(m.weights[r][v], abs=1e-6) for r in names for v in (1, 0, -1))
+    assert quality.estimate(names, []).probability((0, 0, 0, 0)) < 0.5
+
+
 def test_near_copies(docs, empty):
     got = rows(neardup.classes(docs))
     assert [got[i]["class_id"] for i in range(5)] == [0, 0, 0, 3, 4]
@@ -45,6 +60,48 @@ def test_near_copies(docs, empty):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [0, *range(3, 10)]
 
 
+def test_near_copies_brute_force(spark):
+    """All pairs of different texts by plain dictionaries: no link below the similarity, and hardly one of the others missing."""
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(40):
+        base = list(rng.choice(WORDS, int(rng.integers(40, 200))))
+        texts.append(" ".join(base))
+        for _ in range(int(rng.integers(0, 12)) if i else 60):
+            copy = list(base)
+            for j in rng.choice(len(copy), int(rng.integers(1, 1 + max(2, len(copy) // 40))), replace=False):
+                copy[j] = f"x{rng.integers(10_000)}"
+            texts.append(" ".join(copy))
+    texts += ["one two", "one two", "one two three", "", "Same Words here now again", "same words HERE now again"]
+    bags = [Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := t.lower().split()) else Counter() for t in texts]
+    code = {x: int(neardup.Shingles(pa.array([" ".join(x)])).hash[0]) & (neardup.BUCKETS - 1) for b in bags for x in b}
+    unique = list(dict.fromkeys(texts))
+    held = Counter(c for t in unique for c in {code[x] for x in bags[texts.index(t)]})
+    weight = lambda x: np.sqrt(np.log((1 + len(unique)) / (1 + held[code[x]])) + 1)
+    root, links = list(range(len(texts))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = defaultdict(set)
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or bags[i] and (low := sum(min(n, bags[j][x]) * weight(x) for x, n in bags[i].items())) and low >= 0.8 * (sum(n * weight(x) for x, n in bags[i].items()) + sum(n * weight(x) for x, n in bags[j].items()) - low):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                close[i].add(j)
+                links += texts[i] != texts[j]
+    got = rows(neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert links > 100 and all(find(r["class_id"]) == find(i) for i, r in got.items())
+    assert sum(got[i]["class_id"] == got[j]["class_id"] for i in close for j in close[i]) >= 0.98 * sum(map(len, close.values()))
+    assert got[0]["kept"] and len({r["class_id"] for i, r in got.items() if find(i) == 0}) == 1
+
+
 def test_repeated_rows(docs):
     """Rows ingested more than once, ids and all: one stays of each class, and every row without text."""
     more = docs.unionByName(docs.where("doc_id IN (0, 3, 5, 8)")).unionByName(docs.where("doc_id IN (0, 8)")).unionByName(docs.where("doc_id = 9").selectExpr("cast(null as bigint) AS doc_id", *docs.columns[1:]))
@@ -103,7 +160,8 @@ def test_wrapped_licences(spark):
     mit = " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files, to deal in it.\n"
     texts = [mit, "Text.\nAll rights reserved.", "All human rights are to be reserved.", "Licensed under the Apache License, Version 2.0 and " + mit.replace("\n", " "), "Licensed under CC BY-SA 4.0", "Licensed under CC BY 4.0", "This Permission is\n\nhereby granted, free of charge, to any person\n\nobtaining a copy of this software and\n\nassociated documentation files"]
     got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
-    assert [got[i]["labels"] for i in range(7)] == ["mit", "proprietary", "", "apache,mit", "cc-by-sa", "cc-by", ""]
+    assert [got[i]["closest"] for i in range(7)] == ["mit", "proprietary", "", "apache,mit", "cc-by-sa", "cc-by", ""]
+    assert got[4]["labels"] == "cc-by,cc-by-nc,cc-by-sa"  # all hold four fifths of their words there
 
 
 def test_bpe(docs, empty):
@@ -139,6 +197,100 @@ def test_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_stray_tags_and_doubtful_blocks(spark):
+    schema = "page_id bigint, url string, html string, host bigint, zone string, blocks string"
+    article = lambda n, x: f"<article><p>text {n}</p></ b><p>rest</p><!-- c --></><div class='tags-intro'>prose</div><section id=search>{x}</section></article>"
+    data = [(1, "http://h/1", article(1, "soft block of some words")), (2, "http://h/2", article(2, "soft block of some words")), (3, "http://h/3", article(3, "its own")), (4, "http://i/1", article(4, "soft block of some words")), (5, "http://i/2", "<p>a < b and </3 c <!DOCTYPE x> d<b")]
+    got = rows(html_text.main_text(spark.createDataFrame([(*x, 1, "z", "b") for x in data], schema)), "page_id")
+    assert [got[i]["text"].split("\n") for i in (1, 2)] == [[f"text {i}", "rest", "prose"] for i in (1, 2)]
+    assert got[3]["text"].endswith("its own") and got[4]["text"].endswith("soft block of some words") and got[5]["text"] == "a < b and </3 c d"
+
+
+def test_host_suffixes_brute_force(spark):
+    """Words covered by a run of LONG words, or a whole block, that another page of the host has too."""
+    rng = np.random.default_rng(4)
+    shared = [" ".join(rng.choice(WORDS, int(n))) for n in rng.integers(3, 30, 12)]
+    pages = []
+    for i in range(60):
+        own = [" ".join(rng.choice(WORDS[:40], int(rng.integers(1, 25)))) for _ in range(3)]
+        k = int(rng.integers(len(shared)))
+        own[1] = f"{own[1]} {shared[k]}" if i % 3 else shared[k]
+        pages.append((i, i % 4 if i % 5 else 0, own))
+    pages += [(60, 1, pages[1][2]), (61, 9, pages[1][2])]  # a page stored twice, and one on another host
+    schema = "id bigint, host bigint, page bigint, texts array<string>"
+    page = {i: hash(tuple(t)) & 0xFFFFFFFF for i, _, t in pages}
+    found = html_text.repeated_runs(spark.createDataFrame([(i, h, page[i], t) for i, h, t in pages], schema)).collect()
+    got = {i: set() for i, *_ in pages}
+    for r in found:
+        got[r["id"]] |= set(range(r["from"], r["to"]))
+    runs, blocks_ = {}, {}
+    for i, h, texts in pages:
+        for t in texts:
+            w = t.split()
+            blocks_.setdefault((h, t), set()).add(page[i])
+            for j in range(len(w) - html_text.LONG + 1):
+                runs.setdefault((h, *w[j : j + html_text.LONG]), set()).add(page[i])
+    for i, h, texts in pages:
+        at, want = 0, set()
+        for t in texts:
+            w = t.split()
+            # Blocks longer than a suffix are repeated by their runs.
+            if len(w) < html_text.LEADING and len(blocks_[h, t]) > 1:
+                want |= set(range(at, at + len(w)))
+            for j in range(len(w) - html_text.LONG + 1):
+                if len(runs[(h, *w[j : j + html_text.LONG])]) > 1:
+                    want |= set(range(at + j, at + j + html_text.LONG))
+            at += len(w)
+        assert got[i] == want, i
+    assert sum(map(len, got.values())) > 200
+
+
+def test_containment_brute_force(spark):
+    """Every block of a line against every template, by plain sets; and the positional filter drops some that pass the others."""
+    rng = np.random.default_rng(6)
+    templates = [(x, t) for x, t in licenses.TEMPLATES if len(set(licenses._words(t))) > licenses.SHORT]  # shorter ones must stand together
+    sentences = [t for _, t in templates]
+    vocabulary = sorted({w for t in sentences for w in licenses._words(t)})
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(4):
+            w = re.findall("[A-Za-z0-9]+", sentences[int(rng.integers(len(sentences)))])
+            w = [x for x in w if rng.random() > 0.1 * rng.integers(0, 4)] + list(rng.choice(vocabulary, int(rng.integers(0, 6))))
+            rng.shuffle(w)
+            lines.append(" ".join(w))
+        texts.append("\n\n".join(lines))
+    got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), templates))
+    sets = [(label, set(licenses._words(t))) for label, t in templates]
+    for i, t in enumerate(texts):
+        want, first = [], 0
+        for line in t.split("\n\n"):
+            block = set(licenses._words(line))
+            want += [(label, first, round(len(s & block) / len(s), 9)) for label, s in sets if len(s & block) >= 0.8 * len(s) - 1e-9]
+            first += len(licenses._words(line))
+        assert sorted((m["label"], m["first"], round(m["containment"], 9)) for m in got[i]["blocks"]) == sorted(want), i
+        assert {label for label, *_ in want} <= set(got[i]["labels"].split(",")) | {""}
+    known = licenses.Templates(templates, 0.8, {})
+    dropped = 0
+    for _ in range(300):
+        block = {licenses.hash_word(w) for w in rng.choice(vocabulary, 25)}
+        in_prefix = {i for h in block if h in known.rank for i, _ in known.by_prefix.get(known.rank[h], ()) if sum(x in known.rank for x in block) >= known.need[i]}
+        kept = set(known.candidates(block))
+        assert {i for i in in_prefix if sum(h in block for h in known.hashes[i]) >= known.need[i]} <= kept <= in_prefix
+        dropped += len(in_prefix - kept)
+    assert dropped > 0
+
+
+def test_pii_without_spaces():
+    import time
+
+    weights, began = pii.trained(), time.monotonic()
+    for text in ("漢字" * 250_000 + "7" + "漢" * 500_000, "a.b-c_d%" * 125_000 + "@", " at " * 250_000, "Zm9v" * 250_000 + "1"):
+        pii.spans(text, weights)
+    assert time.monotonic() - began < 120
+    assert pii.base_spans(f"at 10.{'0' * 500}7.0.{'0' * 4400}255 or 10.0.0.{'9' * 500}") == [("ip", 3, 3 + 3 + 501 + 3 + 4403)]
+
+
 def test_toxicity(docs, empty):
     rng = np.random.default_rng(1)
     filler = lambda: " ".join("".join(rng.choice(list("aeinrst"), 5)) for _ in range(30))
@@ -149,3 +301,49 @@ def test_toxicity(docs, empty):
     assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, model).collect()) and toxicity.scored(empty, model).count() == 0
     assert toxicity.train([], []).score(np.array([-np.inf]))[0] == pytest.approx(0.1)
     assert re.fullmatch("idiot", toxicity.units("say i d i o t now")[1])
+
+
+def test_kernel_brute_force():
+    """The explicit map's products against all pairs of subsequences of the padded words."""
+    import itertools
+
+    def subsequences(word):
+        w, out = f"^{word}$", {}
+        for n, span in toxicity.SPANS.items():
+            for at in itertools.combinations(range(len(w)), n):
+                if at[-1] - at[0] < span:
+                    key = tuple(w[i] for i in at)
+                    out[n, key] = out.get((n, key), 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
+        return out
+
+    words = ["idiot", "idxiot", "i-d-i-o-t", "stone", "scum", "scumbag"]
+    codes, size = toxicity.encoded(words)
+    keys = toxicity.keyed(codes, size)
+    maps = list(toxicity.landmark_map(keys, size))
+    norm = toxicity.lengths(size)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = subsequences(toxicity.letters(a).replace("-", "")), subsequences(toxicity.letters(b).replace("-", ""))
+            want = sum(v * y.get(k, 0.0) for k, v in x.items()) / norm[i] / norm[j]
+            assert float(maps[i] @ maps[j]) == pytest.approx(want, abs=2e-3), (a, b)
+            assert toxicity.apply_table(maps[i], keys, size)[j] == pytest.approx(float(maps[i] @ maps[j]), abs=1e-4)
+
+
+def test_toxicity_held_out():
+    """Trained on the labelled rows that aren't held out, judged on those that are."""
+    import os
+    import zlib
+
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    found = duckdb.connect().sql(f"SELECT doc_id, coalesce(text, ''), toxic FROM '{data}/documents.parquet' JOIN '{data}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    out = [zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in found]
+    model = toxicity.train([t for (_, t, _), x in zip(found, out, strict=True) if not x], [y for (*_, y), x in zip(found, out, strict=True) if not x])
+    caught, wrong = [], []
+    for (_, t, y), x in zip(found, out, strict=True):
+        if x:
+            u = [w for s in toxicity.sentences(t) for w in s]
+            (caught if y else wrong).append(model.score(np.array([model.remembered(u).max() if u else -np.inf]))[0] >= toxicity.THRESHOLD)
+    assert np.mean(caught) > 0.85 and np.mean(wrong) < 0.02
