@@ -125,7 +125,7 @@ def upkeep(v: DataFrame) -> tuple[ix.Index, DataFrame]:
 def worked(v: DataFrame) -> DataFrame:
     """A build of 400 vectors, 20 searches, and 100 operations of the mix over an index that starts empty."""
     w = workload.Workload(v.select("id", "vec"), queries_of(v), K, 8, write_percent=40)
-    w.run(ix.build(v.where("id < 0"), ATTRIBUTES, 1), 400, 20, 100, 100)
+    w.run(ix.build(v.where("id < 0"), ATTRIBUTES, 1), 400, 20, 100, 400)
     return w.report().select("phase", "operation", "n", "errors")
 
 
