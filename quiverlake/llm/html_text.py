@@ -13,8 +13,12 @@ a repeated substring if they are ``LONG`` or a whole block. Covered words go, un
 never part at a boundary, so only repeats of fewer words than that, which don't count, are not seen across one.
 Pages with the same blocks count as one, so a page that is stored twice loses nothing.
 
-Zone main itself stays as it is: an article's own words may well stand elsewhere, when pages carry the same article, quote it
-or advertise it.
+Zone main's words go through an array too, a host's articles together. An article's own words may well stand elsewhere, when pages
+carry the same article, quote it or advertise it, so there a repeat is boilerplate only if it is part of the host's template: the run
+(or whole block, if no heading) stands in more than half of the host's different articles, ``MANY`` at least, and such runs are
+less than half of the page's article. Pages are dealt out by host, a large host in pieces. What more than half of
+a host's articles hold, more than half of some piece's hold too, so the pieces' arrays find every candidate; these are then counted on the
+whole host.
 
 A suffix that a task holds from two pages in full is settled there; two go on as witnesses, so a very common block is a few
 rows for each task. A null page has no blocks: its text is empty, as is that of a page without main text. Repeated rows give
@@ -36,16 +40,22 @@ from .common import chunks, stored, table
 from .substrings import multikey_order
 from .textvec import SPACED, Words, flat, hash_word, hashes, mixed
 
-MAIN, OTHER, OUT, SOFT = 0, 1, 2, 3
+#: TITLE is main too, a heading.
+MAIN, OTHER, OUT, SOFT, TITLE = 0, 1, 2, 3, 4
 #: Words of a suffix, and words in a row that make a repeat inside a block.
 LEADING, LONG = 8, 8
 #: Suffixes held by a task before it settles those that two pages share.
 HELD = 1 << 18
+#: Different articles that a host must have before a run in most of them is its template.
+MANY = 20
+#: Bytes of html of one host that go through one array, if that is ``PIECE_PAGES`` pages or more.
+PIECE_BYTES, PIECE_PAGES = 1 << 21, 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^a-zA-Z<>][^<>]*>|</>", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW = frozenset("script style noscript template title textarea iframe svg math object select button head".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input link meta nobr picture source area".split())
 _OUT_TAGS = frozenset("nav footer aside form header menu dialog".split())
@@ -80,7 +90,7 @@ def _out(tag: str, attributes: dict[str, str], raw: str) -> int:
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order, without empty ones."""
-    found: list[tuple[int, int, str]] = []  # rank of the container, out (1) or soft (2), text
+    found: list[tuple[int, int, str, bool]] = []  # rank of the container, out (1) or soft (2), text, whether a heading
     stack: list[tuple[str, int, int]] = []  # tag, container rank, out
     parts: list[str] = []
     rank = out = at = 0
@@ -90,7 +100,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                found.append((rank, out, text))
+                found.append((rank, out, text, any(t in _HEADINGS for t, _, _ in stack)))
 
     def pop_to(i: int) -> None:
         nonlocal rank, out
@@ -170,30 +180,198 @@ def blocks(page: str) -> list[tuple[int, str]]:
         stack.append((tag, new_rank, new_out))
         rank, out = new_rank, new_out
     end_block()
-    best = max((r for r, o, _ in found if not o), default=0)
-    return [(OUT if o == 1 else (SOFT if o else MAIN) if r == best and best else OTHER, t) for r, o, t in found]
+    best = max((r for r, o, _, _ in found if not o), default=0)
+    return [(OUT if o == 1 else (SOFT if o else TITLE if h else MAIN) if r == best and best else OTHER, t) for r, o, t, h in found]
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """id, page_id, url, host (hash), page (hash of its blocks) and its blocks (zone, token, text)."""
-    block = pa.struct([("zone", pa.int32()), ("token", pa.int64()), ("text", pa.string())])
+def _host(url: str | None) -> int:
+    host = re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/")[0].split("?")[0].split("#")[0]
+    return int(np.uint64(hash_word(host or "-")).astype(np.int64))
+
+
+def large_hosts(pages: DataFrame) -> dict[int, int]:
+    """Pieces of each host that has more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_host(x) for x in b.column(0).to_pylist()], pa.int64()), b.column(1)], ["host", "size"])
+
+    sizes = pages.select(F.col("url").cast("string").alias("url"), F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long").alias("size")).mapInArrow(run, "host bigint, size bigint")
+    pieces = F.least(F.ceil(F.sum("size") / PIECE_BYTES), F.floor(F.count("*") / PIECE_PAGES)).cast("long")
+    return {r["host"]: r["pieces"] for r in sizes.groupBy("host").agg(pieces.alias("pieces")).where("pieces > 1").collect()}
+
+
+def _signature(tokens: np.ndarray) -> int:
+    return int(mixed(np.array([np.bitwise_xor.reduce(mixed(tokens + np.arange(1, len(tokens) + 1, dtype=np.uint64))) if len(tokens) else 0], np.uint64)).view(np.int64)[0])
+
+
+def page_blocks(pages: DataFrame, pieces: dict[int, int]) -> DataFrame:
+    """id, page_id, url, host (hash), page (hash of its blocks), article (that of its main zone), piece of the host, kind (of zone: main, or
+    other without one), and the blocks that may be kept, packed: bytes of them and the same compressed. Pages of a large host that no array needs,
+    as they have no main zone or a task has read the same article before, have negative pieces, so that copies don't gather."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, seen, n = pa.Codec("zstd"), set(), 0
         for b in chunks(batches, "html"):
-            out, hosts, signatures = [], [], []
+            out = []
             for url, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 found = blocks(page or "")
                 data, offsets = flat(pa.array([t for _, t in found], pa.string()))
                 tokens = hashes(data, offsets[:-1], offsets[1:])
-                signatures.append(int(mixed(np.array([np.bitwise_xor.reduce(mixed(tokens + np.arange(1, len(tokens) + 1, dtype=np.uint64))) if len(tokens) else 0], np.uint64)).view(np.int64)[0]))
-                host = re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/")[0].split("?")[0].split("#")[0]
-                hosts.append(int(np.uint64(hash_word(host or "-")).astype(np.int64)))
-                out.append([{"zone": z, "token": t, "text": x} for (z, x), t in zip(found, tokens.view(np.int64).tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hosts, pa.int64()), pa.array(signatures, pa.int64()), pa.array(out, pa.list_(block))], ["id", "page_id", "url", "host", "page", "blocks"])
+                main = np.array([z in (MAIN, TITLE) for z, _ in found], bool)
+                kind = MAIN if main.any() else OTHER
+                article, host = _signature(tokens[main]), _host(url)
+                piece = article % pieces.get(host, 1)
+                if host in pieces:
+                    if kind == OTHER or (host, article) in seen:
+                        n += 1
+                        piece = -1 - n % pieces[host]
+                    seen.add((host, article))
+                packed = "\n".join(f"{z}{t}" for z, t in found if z != OUT and (z != OTHER or kind == OTHER)).encode()
+                out.append((host, _signature(tokens), article, piece, kind, len(packed), codec.compress(packed, asbytes=True)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], ["id", "page_id", "url", "host", "page", "article", "piece", "kind", "bytes", "packed"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select(F.monotonically_increasing_id().alias("id"), "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, f"id bigint, page_id {kind}, url string, host bigint, page bigint, blocks array<struct<zone: int, token: bigint, text: string>>")
+    return rows.mapInArrow(run, f"id bigint, page_id {kind}, url string, host bigint, page bigint, article bigint, piece int, kind int, bytes bigint, packed binary")
+
+
+def article_suffixes(articles: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Article, place (its words counted through), number of words, and leading words (as columns) of each suffix of main blocks that may be a repeat."""
+    doc_of = np.repeat(np.arange(len(articles)), [len(x) for x in articles])
+    title = np.array([z == TITLE for x in articles for z, _ in x], bool)
+    w = Words(*flat(pa.array([t for x in articles for _, t in x], pa.string())), SPACED)
+    h = np.append((w.hash | np.uint64(2)).view(np.int64), 0)
+    last = w.first[1:][w.doc]
+    left = last - np.arange(len(last))
+    # What is shorter and no whole block can't be a repeat; a short heading may well be each article's own.
+    of = np.flatnonzero((left >= LONG) | (left == w.count[w.doc]) & ~title[w.doc])
+    last = last[of]
+    columns = [np.where(of + j < last, h[np.minimum(of + j, len(h) - 1)], (of + j == last).astype(np.int64)) for j in range(LONG)]
+    row = doc_of[w.doc]
+    return row[of], of - np.searchsorted(row, row[of]), np.minimum(left[of], LONG), columns
+
+
+def suffix_keys(columns: list[np.ndarray]) -> np.ndarray:
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mixed(c.view(np.uint64) + mixed(key))
+    return key.view(np.int64)
+
+
+def in_most(row: np.ndarray, columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Of the suffixes of n articles, in sorted order, those that more than half of the articles share."""
+    order, same = multikey_order([*columns, row])
+    if not len(order):
+        return order
+    changed = np.ones(len(order), bool)
+    changed[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    group = np.cumsum(changed) - 1
+    return order[np.bincount(group, weights=~same)[group] * 2 > n]
+
+
+def template_runs(row: np.ndarray, at: np.ndarray, words: np.ndarray, totals: np.ndarray) -> dict[int, list[dict[str, int]]]:
+    """Runs of covered words of each article, if they are less than half of its ``totals``."""
+    found: dict[int, list[dict[str, int]]] = {}
+    for i in np.lexsort((at, row)):
+        runs, start, end = found.setdefault(int(row[i]), []), int(at[i]), int(at[i] + words[i])
+        if runs and start <= runs[-1]["to"]:
+            runs[-1]["to"] = max(runs[-1]["to"], end)
+        else:
+            runs.append({"from": start, "to": end})
+    return {i: x for i, x in found.items() if 2 * sum(y["to"] - y["from"] for y in x) < totals[i]}
+
+
+def _main(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return [x for x in found if x[0] in (MAIN, TITLE)]
+
+
+def _words(articles: list[list[tuple[int, str]]]) -> np.ndarray:
+    return np.array([sum(t.count(" ") + 1 for _, t in x) for x in articles], np.int64)
+
+
+_RUNS = "array<struct<from: int, to: int>>"
+
+
+def judged_articles(found: DataFrame, pieces: dict[int, int]) -> DataFrame:
+    """Unpacked pages with the words of the main zone that are the host's template (``runs``), unless the host is ``large``; ``first`` of an
+    article's pages, and, with some page of each piece of a large host, keys of the suffixes that most of the piece's articles share (``often``)."""
+    runs = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    block = pa.list_(pa.struct([("zone", pa.int32()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        codec = pa.Codec("zstd")
+        t = pa.Table.from_batches(batches).combine_chunks()
+        host, piece = t.column("host").to_numpy(), t.column("piece").to_numpy()
+        order = np.lexsort((piece, host))
+        starts = np.flatnonzero(np.append(True, (host[order][1:] != host[order][:-1]) | (piece[order][1:] != piece[order][:-1])))
+        for i, z in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            b = t.take(pa.array(order[i:z]))
+            large = int(host[order[i]]) in pieces
+            pages_ = [[(int(x[0]), x[1:]) for x in codec.decompress(p, n, asbytes=True).decode().split("\n")] if n else [] for p, n in zip(b.column("packed").to_pylist(), b.column("bytes").to_pylist(), strict=True)]
+            number: dict[int, int] = {}
+            own, first, articles = [], [], []
+            for a, kind, found in zip(b.column("article").to_pylist(), b.column("kind").to_pylist(), pages_, strict=True):
+                first.append(kind == MAIN and a not in number and piece[order[i]] >= 0)
+                if first[-1]:
+                    number[a] = len(articles)
+                    articles.append(_main(found))
+                own.append(number.get(a, -1) if kind == MAIN else -1)
+            often: list[int] = []
+            cut: dict[int, list[dict[str, int]]] = {}
+            if articles and (large or len(articles) >= MANY):
+                row, at, words, columns = article_suffixes(articles)
+                hit = in_most(row, columns, len(articles))
+                if large:
+                    often = np.unique(suffix_keys([c[hit] for c in columns])).tolist()
+                else:
+                    cut = template_runs(row[hit], at[hit], words[hit], _words(articles))
+            n = len(own)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).combine_chunks() for c in ("id", "page_id", "url", "host", "page", "kind")), pa.array([[{"zone": z, "text": x} for z, x in p] for p in pages_], block), pa.array([large] * n), pa.array(first), pa.array([cut.get(x) for x in own], runs), pa.array([often, *[None] * (n - 1)], pa.list_(pa.int64()))],
+                ["id", "page_id", "url", "host", "page", "kind", "blocks", "large", "first", "runs", "often"],
+            )
+
+    kind = found.schema["page_id"].dataType.simpleString()
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "host", "piece").mapInArrow(run, f"id bigint, page_id {kind}, url string, host bigint, page bigint, kind int, blocks array<struct<zone: int, text: string>>, large boolean, first boolean, runs {_RUNS}, often array<bigint>")
+
+
+def large_templates(found: DataFrame) -> dict[int, np.ndarray]:
+    """Keys of the suffixes that more than half of the articles of each large host share: candidates of its pieces, counted in all of them."""
+    large = found.where("large")
+    often: dict[int, set[int]] = {}
+    for r in large.where("size(often) > 0").select("host", "often").collect():
+        often.setdefault(r["host"], set()).update(r["often"])
+    if not often:
+        return {}
+    keys = {h: np.array(sorted(x), np.int64) for h, x in often.items()}
+    large = large.where("first").where(F.col("host").isin(list(keys)))
+    totals = large.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= MANY)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "bytes"):
+            hosts = b.column(0).to_numpy()
+            for h in np.unique(hosts):
+                articles = [_main([(x["zone"], x["text"]) for x in p]) for p in b.column(1).filter(pa.array(hosts == h)).to_pylist()]
+                row, _, _, columns = article_suffixes(articles)
+                key = suffix_keys(columns)
+                hit = np.flatnonzero(np.isin(key, keys[int(h)]))
+                one = np.unique(np.stack([key[hit], row[hit]]), axis=1)[0]
+                found_, n = np.unique(one, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), h)), pa.array(found_), pa.array(n)], ["host", "key", "n"])
+
+    rows = large.select("host", "blocks", F.array_join(F.col("blocks.text"), " ").alias("bytes"))
+    counts = rows.mapInArrow(count, "host bigint, key bigint, n bigint").groupBy("host", "key").agg(F.sum("n").alias("n"))
+    out: dict[int, list[int]] = {}
+    for r in counts.join(totals, "host").where("2 * n > total").collect():
+        out.setdefault(r["host"], []).append(r["key"])
+    return {h: np.array(sorted(x), np.int64) for h, x in out.items()}
 
 
 def doubtful() -> Column:
@@ -311,36 +489,43 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and ``removed`` (number of repeated words removed)."""
-    found = page_blocks(pages)
-    kind = F.when(F.exists("blocks", lambda x: x["zone"] == MAIN), MAIN).otherwise(OTHER)
-    # Only the text that may be kept is stored.
-    own = F.filter("blocks", lambda x: (x["zone"] == F.col("kind")) | (x["zone"] == SOFT))
-    found = stored(found.withColumn("kind", kind).select("id", "page_id", "url", "host", "page", "kind", own.alias("blocks")))
-    doubt = found.where(doubtful())
+    pieces = large_hosts(pages)
+    # Only the text that may be kept is moved and stored.
+    found = stored(judged_articles(page_blocks(pages, pieces), pieces))
+    templates = large_templates(found) if pieces else {}
+    in_doubt = found.where(doubtful())
     texts = F.transform(F.filter("blocks", lambda x: (x["zone"] == SOFT) | (F.col("kind") == OTHER)), lambda x: x["text"])
-    ranges = repeated_runs(doubt.select("id", "host", "page", texts.alias("texts"))).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    ranges = repeated_runs(in_doubt.select("id", "host", "page", texts.alias("texts"))).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
-            for main, found, ranges in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                gone = {i for x in ranges or () for i in range(x["from"], x["to"])}
-                at, left = 0, []
+            for host, found, runs, ranges in zip(*(b.column(c).to_pylist() for c in ("host", "blocks", "runs", "ranges")), strict=True):
+                main = _main([(x["zone"], x["text"]) for x in found])
+                if main and host in templates:
+                    row, at, words, columns = article_suffixes([main])
+                    hit = np.isin(suffix_keys(columns), templates[host])
+                    runs = template_runs(row[hit], at[hit], words[hit], _words([main])).get(0)
+                # Words of main blocks and of doubtful ones are counted apart.
+                gone = [{i for x in y or () for i in range(x["from"], x["to"])} for y in (runs, ranges)]
+                at, left = [0, 0], []
                 for x in found:
-                    if main and x["zone"] == MAIN:
-                        left.append(x["text"])
-                        continue
-                    words = x["text"].split(" ")
-                    left.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
-                    at += len(words)
+                    words, k = x["text"].split(" "), int(x["zone"] not in (MAIN, TITLE))
+                    left.append(" ".join(w for i, w in enumerate(words, at[k]) if i not in gone[k]))
+                    at[k] += len(words)
                 texts.append("\n".join(x for x in left if x))
-                removed.append(len(gone))
+                removed.append(len(gone[0]) + len(gone[1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "removed"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    judged = doubt.join(ranges, "id", "left").select("page_id", "url", (F.col("kind") == MAIN).alias("main"), "blocks", "ranges").mapInArrow(cut, f"page_id {kind}, url string, text string, removed bigint")
-    plain = found.where(~doubtful()).select("page_id", "url", F.array_join(F.transform("blocks", lambda x: x["text"]), "\n").alias("text"), F.lit(0).cast("long").alias("removed"))
-    return plain.unionByName(judged)
+    schema = f"page_id {kind}, url string, text string, removed bigint"
+    columns = ["page_id", "url", "host", "blocks", "runs", "ranges"]
+    template = F.col("runs").isNotNull() | F.col("host").isin(list(templates))
+    judged = in_doubt.join(ranges, "id", "left").select(columns).mapInArrow(cut, schema)
+    sure = found.where(~doubtful())
+    shared = sure.where(template).withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)).select(columns).mapInArrow(cut, schema)
+    plain = sure.where(~template).select("page_id", "url", F.array_join(F.transform("blocks", lambda x: x["text"]), "\n").alias("text"), F.lit(0).cast("long").alias("removed"))
+    return plain.unionByName(shared).unionByName(judged)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -245,6 +246,58 @@ def test_host_suffixes_brute_force(spark):
     assert sum(map(len, got.values())) > 200
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_article_templates_brute_force(spark, monkeypatch, large):
+    """Words of articles in a run, or short block, that most of the host's articles have; also if a host's pages are dealt out in pieces."""
+    if large:
+        monkeypatch.setattr(html_text, "PIECE_BYTES", 1 << 10)
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(rng.choice(WORDS, int(n)))
+    offer, passage, copied = draw(14), draw(20), [draw(30), draw(25)]
+    pages = []
+    for i in range(90):
+        own = [("h2", "Summary"), *(("p", draw(rng.integers(9, 60))) for _ in range(3))]
+        host = "few" if i < 9 else "half" if i < 29 else "most"
+        if host == "few" or host == "half" and i % 2 or host == "most" and i % 8:
+            own[2:2] = [("div", f"{draw(2)} {offer} {i}"), ("div", "Our advert")]
+        if i % 3 == 0:
+            own.append(("p", passage))
+        pages.append((i, f"http://{host}/{i}", own))
+    pages += [(100 + i, f"http://copies/{i}", [*(("p", x) for x in copied), ("p", f"copy {i}")]) for i in range(30)]
+    pages += [(200 + i, f"http://most/copy{i}", pages[30][2]) for i in range(40)]  # one article, as a page's copies count once
+    data = [(i, url, "<article>" + "".join(f"<{t}>{x}</{t}>" for t, x in own) + "</article>" + f"<p>page {i}</p>") for i, url, own in pages]
+    got = rows(html_text.main_text(spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(3)), "page_id")
+    assert len(html_text.large_hosts(spark.createDataFrame(data, "page_id bigint, url string, html string"))) == (4 if large else 0)
+    articles, hosts = {}, {}
+    for _, url, own in pages:
+        articles.setdefault(url.split("/")[2], set()).add(tuple(own))
+
+    def parts(own):
+        at = 0
+        for t, x in own:
+            w = x.split()
+            for j in range(max(1, len(w) - html_text.LONG + 1)):
+                if len(w) >= html_text.LONG or t != "h2":
+                    yield at + j, (len(w) < html_text.LONG, *w[j : j + html_text.LONG])
+            at += len(w)
+
+    for h, found in articles.items():
+        hosts[h] = Counter(x for own in found for x in {y for _, y in parts(own)})
+    for i, url, own in pages:
+        h = url.split("/")[2]
+        gone = {k for j, x in parts(own) if len(articles[h]) >= html_text.MANY and 2 * hosts[h][x] > len(articles[h]) for k in range(j, j + len(x) - 1)}
+        if 2 * len(gone) >= sum(len(x.split()) for _, x in own):
+            gone = set()
+        at, want = 0, []
+        for _, x in own:
+            want.append(" ".join(w for k, w in enumerate(x.split(), at) if k not in gone))
+            at += len(x.split())
+        assert (got[i]["text"], got[i]["removed"]) == ("\n".join(x for x in want if x), len(gone)), i
+        assert h != "copies" or not gone
+    assert "Our advert" not in got[33]["text"] and offer not in got[33]["text"] and offer in got[1]["text"] and offer in got[11]["text"]
+    assert "Summary" in got[33]["text"] and passage in got[33]["text"] and got[200]["removed"] == got[30]["removed"]
+
+
 def test_containment_brute_force(spark):
     """Every block of a line against every template, by plain sets; and the positional filter drops some that pass the others."""
     rng = np.random.default_rng(6)
