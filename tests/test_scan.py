@@ -45,3 +45,12 @@ def test_distances_of_large_integers():
         b = np.random.default_rng(2).integers(-high, high, (7, 64))
         want = [[sum((int(x) - int(y)) ** 2 for x, y in zip(p, r)) for r in b] for p in a]
         assert ix._pairwise(a, b, True).astype(np.int64).tolist() == want
+
+
+def test_nearest_pivots_are_exact(spark, monkeypatch):
+    """More pivots than a block holds: still the nearest of all."""
+    monkeypatch.setattr(ix, "PIVOTS", 4)
+    v = random_vectors(spark, 120, 30)
+    x = np.array([r.vec for r in v.orderBy("id").collect()])
+    want = ((x[:, None] - x[None, ::8]) ** 2).sum(axis=2).argmin(axis=1)
+    assert {r.id: r.cluster_id for r in ix.assigned(v, 15, "nearest").collect()} == dict(enumerate(want.tolist()))
