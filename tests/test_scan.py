@@ -54,3 +54,17 @@ def test_nearest_pivots_are_exact(spark, monkeypatch):
     x = np.array([r.vec for r in v.orderBy("id").collect()])
     want = ((x[:, None] - x[None, ::8]) ** 2).sum(axis=2).argmin(axis=1)
     assert {r.id: r.cluster_id for r in ix.assigned(v, 15, "nearest").collect()} == dict(enumerate(want.tolist()))
+
+
+def embeddings(spark, path, n):
+    x = np.random.default_rng(5).uniform(-1, 1, (n, 64)).astype(np.float32)
+    spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id bigint, embedding array<float>").withColumn("label", F.lit(0)).coalesce(2).write.parquet(f"{path}/embeddings.parquet")
+    return np.floor((x.astype(np.float64) + 1) * 127.5).astype(np.int64)
+
+
+def test_recall_of_search(spark, tmp_path):
+    """Both sides of recall_at_k without joins of queries and entries: what is joined are lists of k."""
+    x = embeddings(spark, tmp_path, 700)
+    got = registry.queries()["recall_at_k"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2 and len(x) == 700
+    assert {r.qid for r in got.collect()} == set(range(0, 700, 100)) and got.where("recall < 0.5").count() == 0
