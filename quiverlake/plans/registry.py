@@ -112,6 +112,12 @@ def grown(v: DataFrame) -> ix.Index:
     return growth.insert(old_tree(v, 14), v.where("id % 5 = 4"), 2)
 
 
+def whole_search(i: ix.Index, v: DataFrame) -> DataFrame:
+    """Search with a beam that holds every cluster, however many there are."""
+    span = i.members.where("level > 1 AND state = 1").groupBy("level").count().agg(F.max("count")).first()[0] or 1
+    return ix.ann_search(i, queries_of(v), K, span, span)
+
+
 def split_all(v: DataFrame) -> ix.Index:
     """A tree of eight leaves far beyond their limit, brought within it."""
     return growth.split_overfull_clusters(kept(v, "overfull", lambda: ix.build(v, ATTRIBUTES, 8)))
@@ -168,7 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_apply": _q(lambda v: split_all(v).members.where("level = 1 AND state = 1").select(F.col("child_id").alias("vec_id"), "cluster_id", "entry_offset")),
         "split_apply_levels": _q(lambda v: split_all(v).members.where("state = 1").groupBy("level").agg(F.countDistinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("entries"))),
         "insert_split": _q(lambda v: grown(v).members.where("level = 1 AND state = 1").select(F.col("child_id").alias("vec_id"), "cluster_id", "entry_offset")),
-        "insert_split_search": _q(lambda v: ix.ann_search(grown(v), queries_of(v), K, 1000, 1000)),
+        "insert_split_search": _q(lambda v: whole_search(grown(v), v)),
         "maintain_pass": _q(lambda v: upkeep(v)[0].members.where("level = 1").select(F.col("child_id").alias("vec_id"), "cluster_id", "entry_offset")),
         "maintain_log": _q(lambda v: upkeep(v)[1]),
         "migration_limits": _q(lambda v: growth.migration_verdicts(t := with_deleted(tree(v), v), ix.migration_candidates(t, leaf_pairs(v)))),

@@ -62,6 +62,15 @@ def embeddings(spark, path, n):
     return np.floor((x.astype(np.float64) + 1) * 127.5).astype(np.int64)
 
 
+def test_insert_split_search_of_many_leaves(spark, tmp_path, monkeypatch):
+    """More leaves than any fixed beam holds: the answers are still those of an exact search."""
+    monkeypatch.setattr(registry, "ATTRIBUTES", ix.Attributes(dimension=64, leaf_max=2, leaf_min=1, internal_max=64))
+    x = embeddings(spark, tmp_path, 2600)
+    found = {(r.qid, r["rank"]): r.vec_id for r in registry.queries()["insert_split_search"](spark, str(tmp_path)).collect()}
+    d = ((x[::100, None] - x[None]) ** 2).sum(axis=2)
+    assert found == {(100 * i, k + 1): int(j) for i, row in enumerate(d) for k, j in enumerate(np.argsort(row, kind="stable")[:10])}
+
+
 def test_recall_of_search(spark, tmp_path):
     """Both sides of recall_at_k without joins of queries and entries: what is joined are lists of k."""
     x = embeddings(spark, tmp_path, 700)
