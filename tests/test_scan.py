@@ -71,6 +71,16 @@ def test_insert_split_search_of_many_leaves(spark, tmp_path, monkeypatch):
     assert found == {(100 * i, k + 1): int(j) for i, row in enumerate(d) for k, j in enumerate(np.argsort(row, kind="stable")[:10])}
 
 
+def test_round_robin_search(spark, tmp_path):
+    """Few leaves of many vectors, of which a query sees some: no more than k rows of a query and task are shuffled."""
+    embeddings(spark, tmp_path, 1500)
+    v = registry.vectors(spark, str(tmp_path))
+    want = topk.top_k(ix.beam(registry.tree(v), registry.queries_of(v), 1, 2, 4, 10).withColumnRenamed("node", "vec_id"), 10)
+    found = registry.queries()["ann_search_round_robin"](spark, str(tmp_path))
+    assert lists(found) == lists(want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_recall_of_search(spark, tmp_path):
     """Both sides of recall_at_k without joins of queries and entries: what is joined are lists of k."""
     x = embeddings(spark, tmp_path, 700)
