@@ -87,3 +87,12 @@ def test_recall_of_search(spark, tmp_path):
     got = registry.queries()["recall_at_k"](spark, str(tmp_path))
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2 and len(x) == 700
     assert {r.qid for r in got.collect()} == set(range(0, 700, 100)) and got.where("recall < 0.5").count() == 0
+
+
+def test_every_level_keeps_its_limit(spark):
+    """Clusters far beyond their limit: as many levels as the limits ask for, the root included."""
+    index = growth.split_overfull_clusters(ix.build(random_vectors(spark, 900), SMALL, 2))
+    held = {(r.level, r.cluster_id): r.live for r in ix.cluster_sizes(index).where("live > 0").collect()}
+    assert index.height == 5 and all(n <= (8 if level == 1 else 4) for (level, _), n in held.items())
+    for level in range(2, 6):
+        assert sum(n for (at, _), n in held.items() if at == level) == sum(at == level - 1 for at, _ in held)
